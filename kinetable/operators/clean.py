@@ -64,6 +64,28 @@ def clean(df, label="label"):
     return df.dropna("any").where(F.col(label) != NULL_LABEL)
 
 
+def is_usable(df, label="label"):
+    """Condition of ``clean``: nothing missing and not the null class."""
+    condition = F.col(label) != NULL_LABEL
+    for name, kind in df.dtypes:
+        condition = condition & F.col(name).isNotNull()
+        if kind in ("double", "float"):
+            condition = condition & ~F.isnan(F.col(name))
+    return condition
+
+
+def prepare_recordings(
+    df, session="session_id", order=("index",), label="label", period_us=PERIOD_US, start=DEFAULT_START, **options
+):
+    """Time axis, cleaning and row position of raw recordings in one pass.
+
+    ``seq`` and ``ts`` count all rows, so cleaning leaves gaps in time; ``pos``
+    counts the rows that remain, as row-count windows need it.
+    """
+    placed = with_position(df, [session], order, out="seq", among={"pos": is_usable(df, label)}, **options)
+    return with_time_axis(placed.where(F.col("pos").isNotNull()), period_us, start)
+
+
 def axes(df, sensor, keys=("session_id", "seq", "ts")):
     """Project one sensor's axes, with the key columns the table has."""
     present = [k for k in keys if k in df.columns]

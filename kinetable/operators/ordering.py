@@ -15,44 +15,92 @@ SLICE_WIDTH = 1 << 20
 HASH_SLICES = 4096
 
 
-def with_position(df, keys, order, slice_by=None, out="pos", size_out=None):
+def with_position(df, keys, order, slice_by=None, out="pos", size_out=None, among=None):
     """Dense position (from 0) of every row within ``keys`` along ``order``.
 
     ``slice_by`` must be a non-decreasing function of the order columns; by
     default it is the first order column in steps of ``SLICE_WIDTH``.  With
-    ``size_out`` the number of rows of the key group is attached as well.  Rows
-    with a NULL key or order value are kept and get a NULL position.
+    ``size_out`` the number of rows of the key group is attached as well.
+    ``among`` maps further output names to conditions: the position counted
+    among the rows that fulfil the condition, NULL for the others, in the same
+    pass.  Rows with a NULL key or order value are kept and get no position.
     """
-    keys, order = list(keys), list(order)
+    keys, order, among = list(keys), list(order), dict(among or {})
     if slice_by is None:
         slice_by = F.floor(F.col(order[0]) / F.lit(SLICE_WIDTH))
     sliced = df.withColumn("_slice", slice_by)
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    counted = {"": F.lit(1), **{f"_{n}": F.when(c, 1) for n, c in among.items()}}
+    counts = sliced.groupBy(*keys, "_slice").agg(
+        *[F.count(c).alias(f"_rows{n}") for n, c in counted.items()]
+    )
     along = Window.partitionBy(*keys).orderBy("_slice")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     shifts = [
-        F.coalesce(
-            F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before")
+        F.coalesce(F.sum(f"_rows{n}").over(earlier), F.lit(0)).alias(f"_before{n}")
+        for n in counted
     ]
     if size_out:
-        whole = Window.partitionBy(*keys)
-        shifts.append(F.sum("_rows").over(whole).alias(size_out))
+        shifts.append(F.sum("_rows").over(Window.partitionBy(*keys)).alias(size_out))
     shifts = counts.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.col("_slice").alias("_s"),
         *shifts,
     )
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    ranked = sliced.withColumn("_rank", F.row_number().over(within))
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    ranks = {"_rank": F.row_number().over(within)}
+    for n, condition in among.items():
+        ranks[f"_rank_{n}"] = F.when(condition, F.count(F.when(condition, 1)).over(so_far))
+    ranked = sliced.withColumns(ranks)
     # Plain equality keeps the partitioning of the ranked side: no second shuffle.
     same = F.col("_slice") == F.col("_s")
     for i, k in enumerate(keys):
         same = same & (F.col(k) == F.col(f"_k{i}"))
     joined = ranked.join(shifts, same, "left")
-    kept = [F.col(c) for c in df.columns if c not in (out, size_out)]
-    position = (F.col("_before") + F.col("_rank") - 1).cast("long").alias(out)
+    made = {out: "", **{n: f"_{n}" for n in among}}
+    kept = [F.col(c) for c in df.columns if c not in made and c != size_out]
+    positions = [
+        (F.col(f"_before{n}") + F.col(f"_rank{n}") - 1).cast("long").alias(name)
+        for name, n in made.items()
+    ]
     extra = [F.col(size_out).cast("long").alias(size_out)] if size_out else []
-    return joined.select(*kept, position, *extra)
+    return joined.select(*kept, *positions, *extra)
+
+
+def with_neighbour(df, keys, order, value, out, slice_by, ahead=False):
+    """The value of the previous (or next) row of the key group, or NULL.
+
+    Works like ``lag`` and ``lead`` but in slices: inside a slice by a window,
+    and for the row at the slice's edge from the nearest filled slice beside it.
+    ``slice_by`` must be a non-decreasing function of the order columns.
+    """
+    keys, order = list(keys), list(order)
+    sliced = df.withColumn("_slice", slice_by)
+    boxed = F.struct(F.col(value).alias("v"))
+    place = F.struct(*order)
+    edge = (F.min_by if ahead else F.max_by)(boxed, place).alias("_edge")
+    edges = sliced.groupBy(*keys, "_slice").agg(edge)
+    along = Window.partitionBy(*keys).orderBy("_slice")
+    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    move = F.lead if ahead else F.lag
+    beside = edges.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.col("_slice").alias("_s"),
+        move("_edge").over(along).alias("_beside"),
+    )
+    near = sliced.withColumn("_near", move(boxed).over(within))
+    same = F.col("_slice") == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_k{i}"))
+    joined = near.join(beside, same, "left")
+    kept = [F.col(c) for c in df.columns if c != out]
+    return joined.select(*kept, F.coalesce("_near", "_beside")["v"].alias(out))
+
+
+def time_slice(ts, seconds=86400):
+    """Slices of a time order: whole steps since 1970."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("SECOND", zero, F.col(ts)) / F.lit(seconds))
 
 
 def with_hash_order(df, key, seed, out="_h"):

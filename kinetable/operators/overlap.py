@@ -165,16 +165,24 @@ def feature_columns(layout, f_list, magnitude=True, fft=(), correlations="pairs"
     return names
 
 
-def overlap_features(df, wsize_sec, overlap=0.5, rate=10, session="session_id", order="seq", **options):
-    """Training features: frames of ``rate * wsize_sec`` rows, kept every
-    ``overlap`` share of a frame, over the rows left after cleaning.
+def placed_rows(df, session, order, pos):
+    """Rows with their position among the rows left after cleaning.
 
-    The position is counted here because cleaning leaves gaps in ``order``.
+    ``prepare_recordings`` has counted it already; other tables, whose ``order``
+    has gaps, are counted here.
     """
+    return df if pos in df.columns else with_position(df, [session], [order], out=pos)
+
+
+def overlap_features(
+    df, wsize_sec, overlap=0.5, rate=10, session="session_id", order="seq", pos="pos", **options
+):
+    """Training features: frames of ``rate * wsize_sec`` rows, kept every
+    ``overlap`` share of a frame, over the rows left after cleaning."""
     w = int(rate * wsize_sec)
     step = int(w * overlap)
-    placed = with_position(df, [session], [order])
-    return frame_features(placed, w, step, step, keys=(session,), **options)
+    placed = placed_rows(df, session, order, pos)
+    return frame_features(placed, w, step, step, keys=(session,), pos=pos, **options)
 
 
 def scoring_features(
@@ -200,10 +208,10 @@ def scoring_features(
 
 
 def overlap_sweep(
-    df, sizes_sec, overlap=0.5, rate=52, session="session_id", order="seq", **options
+    df, sizes_sec, overlap=0.5, rate=52, session="session_id", order="seq", pos="pos", **options
 ):
     """Overlapping features for several window sizes in one job, keyed by ``wsize``."""
-    placed = with_position(df, [session], [order])
+    placed = placed_rows(df, session, order, pos)
     choices = []
     for seconds in sizes_sec:
         w = int(rate * seconds)
@@ -219,4 +227,4 @@ def overlap_sweep(
         )
     sized = placed.select("*", F.inline(F.array(*choices)))
     step = F.col("_step")
-    return frame_features(sized, F.col("_rows"), step, step, keys=(session, "wsize"), **options)
+    return frame_features(sized, F.col("_rows"), step, step, keys=(session, "wsize"), pos=pos, **options)

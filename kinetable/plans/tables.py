@@ -6,7 +6,7 @@ exactly on a rounding boundary.
 
 from pyspark.sql import functions as F
 
-from kinetable.operators.clean import clean, with_time_axis
+from kinetable.operators.clean import prepare_recordings, with_time_axis
 from kinetable.operators.ordering import with_position
 from kinetable.schema import SENSORS
 
@@ -15,8 +15,11 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def imu(spark, folder):
-    """Three-sensor recordings from ``lineitem``, one session per supplier."""
+ORDER = ["l_orderkey", "l_linenumber", "l_partkey"]
+
+
+def raw_samples(spark, folder):
+    """Three-sensor rows from ``lineitem``, one recording per supplier."""
     line = table(spark, folder, "lineitem")
     status = F.concat("l_returnflag", "l_linestatus")
     label = (
@@ -28,9 +31,9 @@ def imu(spark, folder):
     )
     qty, price = F.col("l_quantity"), F.col("l_extendedprice")
     disc, tax = F.col("l_discount"), F.col("l_tax")
-    raw = line.select(
+    return line.select(
         F.col("l_suppkey").alias("session_id"),
-        "l_orderkey", "l_linenumber", "l_partkey",
+        *ORDER,
         (qty / 53e0).alias("xL"),
         (price / 104729e0).alias("yL"),
         (disc * 100e0 / 97e0).alias("zL"),
@@ -42,13 +45,17 @@ def imu(spark, folder):
         (F.col("l_linenumber") / F.lit(7e0)).alias("zC"),
         label.cast("int").alias("label"),
     )
-    order = ["l_orderkey", "l_linenumber", "l_partkey"]
-    placed = with_position(raw, ["session_id"], order, out="seq")
-    return with_time_axis(placed.drop(*order))
+
+
+def imu(spark, folder):
+    """All samples with position and time."""
+    placed = with_position(raw_samples(spark, folder), ["session_id"], ORDER, out="seq")
+    return with_time_axis(placed.drop(*ORDER))
 
 
 def clean_imu(spark, folder):
-    return clean(imu(spark, folder))
+    """The samples left after cleaning, with ``seq``, ``ts`` and ``pos``."""
+    return prepare_recordings(raw_samples(spark, folder), order=ORDER).drop(*ORDER)
 
 
 def imu_long(spark, folder):

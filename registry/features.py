@@ -41,7 +41,8 @@ def session_offset(spark, folder):
       round("xL", 12) as "xL", round("zC", 12) as "zC" from clean""",
 )
 def clean_samples(spark, folder):
-    return rounded(tables.clean_imu(spark, folder).select("session_id", "seq", "label", "xL", "zC"), 12)
+    kept = cl.clean(tables.imu(spark, folder))
+    return rounded(kept.select("session_id", "seq", "label", "xL", "zC"), 12)
 
 
 @query(
@@ -119,13 +120,22 @@ def class_counts(spark, folder):
     return rounded(cl.class_counts(tables.clean_imu(spark, folder)))
 
 
+@query(
+    "prepared_recordings",
+    f"""with {IMU} select session_id, seq, ts, row_number() over (partition by session_id order by seq) - 1 as pos
+    from clean""",
+)
+def prepared_recordings(spark, folder):
+    return tables.clean_imu(spark, folder).select("session_id", "seq", "ts", "pos")
+
+
 @query(
     "dense_position",
     f"""with {IMU} select session_id, seq,
       row_number() over (partition by session_id order by seq) - 1 as pos from clean""",
 )
 def dense_position(spark, folder):
-    rows = tables.clean_imu(spark, folder)
+    rows = cl.clean(tables.imu(spark, folder))
     return with_position(rows, ["session_id"], ["seq"], slice_by=F.floor(F.col("seq") / 100)).select(
         "session_id", "seq", "pos"
     )
@@ -421,7 +431,7 @@ def overlap_point_label(spark, folder):
     ),
 )
 def filled_features(spark, folder):
-    rows = with_position(tables.clean_imu(spark, folder), ["session_id"], ["seq"])
+    rows = tables.clean_imu(spark, folder)
     full = overlap.frame_features(
         rows, 4, 1, 1, f_list=(), magnitude=False, label=None, min_rows=2, fill=0.0
     )
