@@ -11,15 +11,26 @@ from kinetable.schema import AXES
 AXIS_PAIRS = (("x", "y"), ("x", "z"), ("y", "z"))
 
 
-def rms(c):
-    return F.sqrt(F.avg(c * c))
+# Statistics of one column share aggregates (sum, count, central moment); Spark
+# computes equal aggregates of a grouping once.  This keeps the row buffer of a
+# full feature set below the field limit of whole-stage code generation.
+
+
+def mean(c):
+    return F.sum(c) / F.nullif(F.count(c), F.lit(0))
 
 
 def std(c):
-    # Same aggregate buffer as ``var``; Spark computes it once for both.
     return F.sqrt(F.var_samp(c))
 
 
+def rms(c):
+    """Root mean square from mean and variance; both parts are non-negative."""
+    n = F.count(c)
+    spread = F.var_samp(c) * (n - F.lit(1)) / F.nullif(n, F.lit(0))
+    return F.sqrt(mean(c) * mean(c) + F.coalesce(spread, F.lit(0.0)))
+
+
 def safe_corr(a, b):
     """Pearson correlation; NULL for constant axes and for single rows.
 
@@ -43,12 +54,26 @@ def mean_magnitude(columns):
     return F.avg(magnitude(columns))
 
 
-def majority(label):
-    """Most frequent value of a group, the smallest one on ties."""
-    return F.mode(label, True)
+def majority(label, classes=None):
+    """Most frequent value of a group, the smallest one on ties.
+
+    With the list of all ``classes`` the counts are plain aggregates, which is
+    faster; a label outside the list is then an error.
+    """
+    if classes is None:
+        return F.mode(label, True)
+    known = F.coalesce(label.isin(*classes), F.lit(True))
+    checked = F.when(known, label).otherwise(
+        F.raise_error(F.concat(F.lit("label outside the class list: "), label.cast("string"))).cast("int")
+    )
+    counts = [
+        F.struct(F.count(F.when(checked == c, 1)).alias("n"), F.lit(-c).alias("c")) for c in classes
+    ]
+    best = F.array_max(F.array(*counts))
+    return F.when(best["n"] > 0, -best["c"])
 
 
-STATISTICS = {"mean": F.avg, "std": std, "var": F.var_samp, "rms": rms}
+STATISTICS = {"mean": mean, "std": std, "var": F.var_samp, "rms": rms}
 
 
 def register_statistic(name, builder):

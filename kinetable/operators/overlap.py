@@ -88,6 +88,7 @@ def frame_features(
     label_rule="majority",
     min_rows=None,
     fill=None,
+    classes=None,
 ):
     """Features of every kept frame.
 
@@ -126,7 +127,7 @@ def frame_features(
     helpers = [F.max(pos).alias("_last"), F.count(F.lit(1)).alias("n_rows")]
     if label and label in df.columns:
         if label_rule == "majority":
-            columns.append(stats.majority(F.col(label)).alias(label))
+            columns.append(stats.majority(F.col(label), classes).alias(label))
         else:
             at_end = F.when(F.col(pos) == F.col("win_end"), F.col(label))
             columns.append(F.max(at_end).alias(label))

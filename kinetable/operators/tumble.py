@@ -64,6 +64,7 @@ def tumble_features(
     keep_incomplete=False,
     parity=False,
     extra_keys=(),
+    classes=None,
 ):
     """All statistics, magnitude, pair correlations and the majority label.
 
@@ -81,7 +82,7 @@ def tumble_features(
     columns.append(stats.mean_magnitude(sources).alias("mean_mag"))
     columns += stats.pair_correlations(layout)
     if label in df.columns:
-        columns.append(stats.majority(F.col(label)).alias(label))
+        columns.append(stats.majority(F.col(label), classes).alias(label))
     features = windowed.groupBy(*keys).agg(*columns)
     if custom:
         # Python aggregates cannot share an aggregation with built-in ones.

@@ -15,6 +15,7 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+CLASSES = (1, 2, 3, 4)
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey"]
 
 

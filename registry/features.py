@@ -239,7 +239,7 @@ def sql_tumble_full(size):
 
 @query("tumble_features_full", sql_tumble_full(2))
 def tumble_features_full(spark, folder):
-    return rounded(tumble.tumble_features(tables.clean_imu(spark, folder), "2s"))
+    return rounded(tumble.tumble_features(tables.clean_imu(spark, folder), "2s", classes=tables.CLASSES))
 
 
 @query(
