@@ -42,7 +42,7 @@ def window_column(ts, size, origin=DEFAULT_START):
     return F.window(ts, f"{width} microseconds", startTime=f"{shift} microseconds")
 
 
-def tumble(df, size, session="session_id", ts="ts", origin=DEFAULT_START):
+def tumble(df, size, ts="ts", origin=DEFAULT_START):
     """Add ``win_start``, the start of the row's window; bins are [start, end)."""
     bin_ = window_column(F.col(ts), size, origin)
     return df.withColumn("_win", bin_).withColumn("win_start", F.col("_win.start")).drop("_win")
@@ -75,7 +75,12 @@ def tumble_features(
     """
     stats.check_statistics(f_list)
     keys = [session, *extra_keys, "win_start"]
-    windowed = df if "win_start" in df.columns else tumble(df, size, session, origin=origin)
+    by, windowed = keys, df
+    if df.isStreaming:
+        # The watermark belongs to the window column itself, so group by that.
+        by = [*keys[:-1], window_column(F.col("ts"), size, origin).alias("_win")]
+    elif "win_start" not in df.columns:
+        windowed = tumble(df, size, origin=origin)
     swap = right_for_chest if parity and {"R", "C"} <= set(layout) else None
     columns, custom = stats.axis_statistics(layout, f_list, first_lower, swap)
     sources = axis_columns(layout) + ([label] if parity else [])
@@ -83,7 +88,11 @@ def tumble_features(
     columns += stats.pair_correlations(layout)
     if label in df.columns:
         columns.append(stats.majority(F.col(label), classes).alias(label))
-    features = windowed.groupBy(*keys).agg(*columns)
+    features = windowed.groupBy(*by).agg(*columns)
+    if df.isStreaming:
+        features = features.withColumn("win_start", F.col("_win.start")).drop("_win")
+        names = [c for c in features.columns if c not in keys]
+        features = features.select(*keys, *names)
     if custom:
         # Python aggregates cannot share an aggregation with built-in ones.
         features = features.join(windowed.groupBy(*keys).agg(*custom), keys)
