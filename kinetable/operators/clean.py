@@ -41,24 +41,13 @@ def with_sample_position(df, session="session_id", order=("index",), out="seq"):
 
 def with_session_offset(df, session="session_id", ts="ts", hours=SESSION_OFFSET_HOURS):
     """Shift every recording by ``hours`` times its rank among the recordings."""
-    sessions = df.select(session).distinct()
-    ranks = with_position(
-        sessions.withColumn("_all", F.lit(0)), ["_all"], [session],
-        slice_by=rank_slice(sessions, session), out="_nth",
-    ).drop("_all")
+    sessions = df.select(session).distinct().withColumn("_all", F.lit(0))
+    ranks = with_position(sessions, ["_all"], [session], out="_nth").drop("_all")
     step = int(hours * 3600 * 1_000_000)
     moved = df.join(ranks, session)
     return moved.withColumn(ts, add_micros(F.col(ts), F.col("_nth") * F.lit(step))).drop("_nth")
 
 
-def rank_slice(sessions, session):
-    """An order-preserving slice of a session key, numeric or text."""
-    kind = dict(sessions.dtypes)[session]
-    if kind in ("string", "binary"):
-        return F.substring(F.col(session), 1, 4)
-    return F.floor(F.col(session) / F.lit(1 << 20))
-
-
 def clean(df, label="label"):
     """Drop rows with any NULL or NaN, and rows of the null class."""
     return df.dropna("any").where(F.col(label) != NULL_LABEL)

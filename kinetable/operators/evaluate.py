@@ -150,7 +150,10 @@ def micro_auc(predictions, classes, label="label", probabilities="probabilities"
 
 
 def evaluate_model(predictions, classes, name, label="label", prediction="prediction", probabilities="probabilities"):
-    """AUC, accuracy and all confusion counts of one model as (model, metric, value)."""
+    """AUC, accuracy and all confusion counts of one model as (model, metric, value).
+
+    The predictions are read several times; write expensive ones out first.
+    """
     auc_rows = micro_auc(predictions, classes, label, probabilities).select(
         F.lit("auc").alias("metric"), F.col("auc").alias("value")
     )

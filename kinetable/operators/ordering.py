@@ -12,14 +12,25 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window, functions as F
 
 SLICE_WIDTH = 1 << 20
+TEXT_HEAD = 4
 HASH_SLICES = 4096
 
 
+def default_slice(df, column):
+    """Slices of an order column: steps of a number, days, or the head of a text."""
+    kind = dict(df.dtypes)[column]
+    if kind == "string":
+        return F.substring(F.col(column), 1, TEXT_HEAD)
+    if kind == "timestamp_ntz":
+        return time_slice(column)
+    return F.floor(F.col(column) / F.lit(SLICE_WIDTH))
+
+
 def with_position(df, keys, order, slice_by=None, out="pos", size_out=None, among=None):
     """Dense position (from 0) of every row within ``keys`` along ``order``.
 
     ``slice_by`` must be a non-decreasing function of the order columns; by
-    default it is the first order column in steps of ``SLICE_WIDTH``.  With
+    default it is ``default_slice`` of the first order column.  With
     ``size_out`` the number of rows of the key group is attached as well.
     ``among`` maps further output names to conditions: the position counted
     among the rows that fulfil the condition, NULL for the others, in the same
@@ -27,7 +38,7 @@ def with_position(df, keys, order, slice_by=None, out="pos", size_out=None, amon
     """
     keys, order, among = list(keys), list(order), dict(among or {})
     if slice_by is None:
-        slice_by = F.floor(F.col(order[0]) / F.lit(SLICE_WIDTH))
+        slice_by = default_slice(df, order[0])
     sliced = df.withColumn("_slice", slice_by)
     counted = {"": F.lit(1), **{f"_{n}": F.when(c, 1) for n, c in among.items()}}
     counts = sliced.groupBy(*keys, "_slice").agg(

@@ -106,6 +106,28 @@ def right_for_chest(position, column):
     return column.replace("C", "R") if position == 0 else column
 
 
+def window_apply(df, size, func, schema, session="session_id", ts="ts", origin=DEFAULT_START):
+    """A Python function from one window's rows to a table of results.
+
+    ``func`` gets the rows of one window of one recording as a pandas table,
+    whose size the sampling rate bounds; ``schema`` is the type of its result,
+    to which the window's key is added.  Columns the function does not need
+    should be dropped before.
+    """
+    kinds = dict(df.dtypes)
+    windowed = tumble(df, size, ts, origin)
+
+    def apply(key, rows):
+        out = func(rows.sort_values(ts))
+        out.insert(0, session, key[0])
+        out.insert(1, "win_start", key[1])
+        return out
+
+    return windowed.groupBy(session, "win_start").applyInPandas(
+        apply, f"{session} {kinds[session]}, win_start timestamp_ntz, {schema}"
+    )
+
+
 def feature_cells(features):
     """Number of cells of a feature table: rows times columns."""
     return features.agg((F.count(F.lit(1)) * F.lit(len(features.columns))).alias("cells"))

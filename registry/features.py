@@ -282,6 +282,40 @@ def custom_statistic(spark, folder):
     return rounded(full.select("session_id", "win_start", "xL_mean_l", "xL_spread_L"))
 
 
+@query(
+    "window_apply",
+    f"""with {IMU}, binned as (select *, {sql_bins(7)} from clean)
+    select session_id, win_start, arg_min("xL", seq) as first, arg_max("xL", seq) as last, count(*) as n
+    from binned group by session_id, win_start""",
+)
+def window_apply(spark, folder):
+    import pandas as pd
+
+    def ends(rows):
+        x = rows["xL"]
+        return pd.DataFrame({"first": [x.iloc[0]], "last": [x.iloc[-1]], "n": [len(x)]})
+
+    rows = tables.clean_imu(spark, folder).select("session_id", "ts", "xL")
+    return tumble.window_apply(rows, "7s", ends, "first double, last double, n long")
+
+
+@query(
+    "imputed_features",
+    f"""with {IMU}, sided as (select session_id, {sql_bins(1)}, {sql_corr("xL", "yL")} as c, avg("zR") as m
+      from (select *, {sql_bins(1)} from clean) group by session_id, win_start),
+    filled as (select session_id, win_start, coalesce(c, (select avg(c) from sided where session_id % 4 <> 0)) as c, m
+      from sided where session_id % 4 = 0)
+    select session_id, win_start, round(c, 6) + 0.0 as "xyL", round(m, 6) + 0.0 as "zR_mean_r" from filled""".replace(
+        f"{sql_bins(1)}, {sql_corr('xL', 'yL')}", f"win_start, {sql_corr('xL', 'yL')}"
+    ),
+)
+def imputed_features(spark, folder):
+    full = tumble.tumble_features(tables.clean_imu(spark, folder), "1s", f_list=("mean",), keep_incomplete=True)
+    part = full.select("session_id", "win_start", "xyL", "zR_mean_r")
+    train, test = part.where("session_id % 4 <> 0"), part.where("session_id % 4 = 0")
+    return rounded(cl.impute_mean(train, test, ["xyL"])[1])
+
+
 # --------------------------------------------------------- overlapping windows
 
 
@@ -438,6 +472,42 @@ def filled_features(spark, folder):
     return rounded(full.drop("n_rows"))
 
 
+@query(
+    "overlap_custom",
+    sql_frames([sql_round('max("xL") over f - min("xL") over f', "xL_spread_l")]),
+)
+def overlap_custom(spark, folder):
+    def spread(values):
+        return values.max() - values.min()
+
+    full = overlap.overlap_features(
+        tables.clean_imu(spark, folder), 2, f_list=(spread,), layout="L", magnitude=False, correlations=None, label=None
+    )
+    return rounded(full.select("session_id", "win_end", "xL_spread_l"))
+
+
+@query(
+    "split_side_features",
+    f"""with {IMU}, n as (select *, row_number() over (partition by session_id order by seq) - 1 as r,
+      count(*) over (partition by session_id) as n from clean),
+    sides as (select *, case when r < n - ceil(n * 0.25) then 'train' else 'test' end as side from n),
+    placed as (select *, row_number() over (partition by session_id, side order by seq) - 1 as pos from sides)
+    select session_id, side, win_end, "xL_mean_l", label from (
+      select session_id, side, pos as win_end, cast(label as bigint) as label, {sql_round('avg("xL") over f', "xL_mean_l")}
+      from placed window f as (partition by session_id, side order by pos rows between 19 preceding and current row)) t
+    where win_end > 0 and win_end % 10 = 0""",
+)
+def split_side_features(spark, folder):
+    from kinetable.operators.evaluate import ordered_split
+
+    sided = with_position(ordered_split(tables.clean_imu(spark, folder)), ["session_id", "side"], ["seq"])
+    full = overlap.frame_features(
+        sided, 20, 10, 10, keys=("session_id", "side"), f_list=("mean",), magnitude=False, correlations=None,
+        label_rule="point",
+    )
+    return rounded(full.select("session_id", "side", "win_end", "xL_mean_l", "label"))
+
+
 def sql_overlap_sweep(seconds):
     w = 10 * seconds
     step = w // 2
