@@ -1,48 +1,56 @@
-"""Integers at byte offsets of a binary column, little-endian, and back.
+"""Integers at byte offsets of a payload, little-endian, and back.
 
-Only built-in functions: a byte is cut out with ``substring``, written as hex
-and read as a number.  Offsets past the end give NULL.
+Spark cannot cast binary to numbers.  A payload is turned into its image, a text
+with one character per byte, once per row; numbers are then read from the
+characters' codes, inside generated code.  Offsets past the end give NULL.
 """
 
 from pyspark.sql import functions as F
 
 
-def uint(data, offset, width):
+def image(data):
+    """Text with one character per byte of a binary column."""
+    return F.decode(data, "ISO-8859-1")
+
+
+def uint(chars, offset, width):
     """Unsigned little-endian integer of ``width`` bytes."""
-    digits = [F.hex(F.substring(data, offset + i + 1, 1)) for i in reversed(range(width))]
-    number = F.conv(F.concat(*digits), 16, 10).cast("long")
-    return F.when(F.length(data) >= offset + width, number)
+    number = None
+    for i in range(width):
+        byte = F.ascii(F.substring(chars, offset + i + 1, 1)).cast("long")
+        byte = F.shiftleft(byte, 8 * i) if i else byte
+        number = byte if number is None else number + byte
+    return F.when(F.length(chars) >= offset + width, number)
 
 
-def sint(data, offset, width):
-    """Signed little-endian integer of ``width`` bytes."""
-    top = 1 << (8 * width - 1)
-    v = uint(data, offset, width)
-    return F.when(v >= F.lit(top), v - F.lit(2 * top)).otherwise(v)
+def sint(chars, offset, width):
+    """Signed little-endian integer of ``width`` bytes; the shifts copy the sign."""
+    unused = 64 - 8 * width
+    return F.shiftright(F.shiftleft(uint(chars, offset, width), unused), unused)
 
 
-def uint8(data, offset=0):
-    return uint(data, offset, 1)
+def uint8(chars, offset=0):
+    return uint(chars, offset, 1)
 
 
-def sint8(data, offset=0):
-    return sint(data, offset, 1)
+def sint8(chars, offset=0):
+    return sint(chars, offset, 1)
 
 
-def uint16(data, offset=0):
-    return uint(data, offset, 2)
+def uint16(chars, offset=0):
+    return uint(chars, offset, 2)
 
 
-def sint16(data, offset=0):
-    return sint(data, offset, 2)
+def sint16(chars, offset=0):
+    return sint(chars, offset, 2)
 
 
-def uint24(data, offset=0):
-    return uint(data, offset, 3)
+def uint24(chars, offset=0):
+    return uint(chars, offset, 3)
 
 
-def uint32(data, offset=0):
-    return uint(data, offset, 4)
+def uint32(chars, offset=0):
+    return uint(chars, offset, 4)
 
 
 def signed_hex8(text):

@@ -1,7 +1,8 @@
 """Payload decoders: one struct-like set of columns per sensor kind.
 
-``DECODERS[kind]`` maps a binary column to named value columns.  Everything is
-column arithmetic, so a table of mixed payloads is decoded in one scan.
+``DECODERS[kind]`` maps the image of a payload (``bytes.image``) to named value
+columns.  Everything is column arithmetic, so a table of mixed payloads is
+decoded in one scan.
 """
 
 from pyspark.sql import functions as F
@@ -64,38 +65,38 @@ def box_uuid(code):
     return f"ef68{code.lower()}-9b35-4933-9b10-52ffa9740042"
 
 
-def triple(data, first, scale):
-    return {a: b.sint16(data, first + 2 * i) * F.lit(scale) for i, a in enumerate("xyz")}
+def triple(chars, first, scale):
+    return {a: b.sint16(chars, first + 2 * i) * F.lit(scale) for i, a in enumerate("xyz")}
 
 
-def movement_acceleration(data):
-    return {a: b.sint16(data, 6 + 2 * i) / F.lit(COUNTS_PER_G) for i, a in enumerate("xyz")}
+def movement_acceleration(chars):
+    return {a: b.sint16(chars, 6 + 2 * i) / F.lit(COUNTS_PER_G) for i, a in enumerate("xyz")}
 
 
-def movement_gyro(data):
-    return triple(data, 0, 500.0 / 65536.0)
+def movement_gyro(chars):
+    return triple(chars, 0, 500.0 / 65536.0)
 
 
-def movement_magnet(data):
-    return triple(data, 12, 4912.0 / 32760)
+def movement_magnet(chars):
+    return triple(chars, 12, 4912.0 / 32760)
 
 
-def movement(data):
+def movement(chars):
     sets = {"acc": movement_acceleration, "gyro": movement_gyro, "mag": movement_magnet}
-    return {f"{n}_{a}": c for n, f in sets.items() for a, c in f(data).items()}
+    return {f"{n}_{a}": c for n, f in sets.items() for a, c in f(chars).items()}
 
 
-def accelerometer_v1(data, firmware=None):
+def accelerometer_v1(chars, firmware=None):
     """Three signed bytes; firmware 1.4 has a finer scale."""
     fine = F.coalesce(F.startswith(firmware, F.lit("1.4 ")), F.lit(False)) if firmware is not None else F.lit(False)
     scale = F.when(fine, F.lit(64.0)).otherwise(F.lit(16.0))
-    return {a: b.sint8(data, i) / scale for i, a in enumerate("xyz")}
+    return {a: b.sint8(chars, i) / scale for i, a in enumerate("xyz")}
 
 
-def infrared_v1(data):
+def infrared_v1(chars):
     """Thermopile: the object's temperature from its voltage and the die's heat."""
-    ambient = b.sint16(data, 2) / F.lit(128.0)
-    volts = F.lit(IR_VOLTS_PER_COUNT) * b.sint16(data, 0)
+    ambient = b.sint16(chars, 2) / F.lit(128.0)
+    volts = F.lit(IR_VOLTS_PER_COUNT) * b.sint16(chars, 0)
     die = ambient + F.lit(ZERO_CELSIUS_K)
     off = die - F.lit(REFERENCE_K)
     sensitivity = F.lit(IR_SENSITIVITY) * b.quadratic(*IR_SENSITIVITY_POLY, off)
@@ -104,16 +105,16 @@ def infrared_v1(data):
     return {"ambient": ambient, "target": target - F.lit(ZERO_CELSIUS_K)}
 
 
-def infrared_tmp007(data):
+def infrared_tmp007(chars):
     step = F.lit(TMP007_DEGREES_PER_COUNT)
     return {
-        "ambient": F.shiftright(b.sint16(data, 2), 2) * step,
-        "target": F.shiftright(b.sint16(data, 0), 2) * step,
+        "ambient": F.shiftright(b.sint16(chars, 2), 2) * step,
+        "target": F.shiftright(b.sint16(chars, 0), 2) * step,
     }
 
 
-def humidity_v1(data):
-    t, h = b.uint16(data, 0), b.uint16(data, 2)
+def humidity_v1(chars):
+    t, h = b.uint16(chars, 0), b.uint16(chars, 2)
     part = h.bitwiseAND(F.lit(0xFFFC)) / F.lit(65536.0)
     return {
         "temperature": F.lit(-46.85) + F.lit(175.72) * (t / F.lit(65536.0)),
@@ -121,82 +122,82 @@ def humidity_v1(data):
     }
 
 
-def humidity_hdc1000(data):
-    t, h = b.uint16(data, 0) / F.lit(65536.0), b.uint16(data, 2) / F.lit(65536.0)
+def humidity_hdc1000(chars):
+    t, h = b.uint16(chars, 0) / F.lit(65536.0), b.uint16(chars, 2) / F.lit(65536.0)
     return {"temperature": F.lit(-40.0) + F.lit(165.0) * t, "humidity": F.lit(100.0) * h}
 
 
-def humidity_signed(data):
+def humidity_signed(chars):
     """The collector's reading of the same chip, with signed raw numbers."""
-    t, h = b.sint16(data, 0) / F.lit(65536.0), b.sint16(data, 2) / F.lit(65536.0)
+    t, h = b.sint16(chars, 0) / F.lit(65536.0), b.sint16(chars, 2) / F.lit(65536.0)
     return {"temperature": t * F.lit(165.0) - F.lit(40.0), "humidity": h * F.lit(100.0)}
 
 
-def magnetometer_v1(data):
-    return {a: F.lit(1000.0) * (b.sint16(data, 2 * i) / F.lit(32768.0)) for i, a in enumerate("xyz")}
+def magnetometer_v1(chars):
+    return {a: F.lit(1000.0) * (b.sint16(chars, 2 * i) / F.lit(32768.0)) for i, a in enumerate("xyz")}
 
 
-def gyroscope_v1(data):
-    return {a: F.lit(250.0) * (b.sint16(data, 2 * i) / F.lit(32768.0)) for i, a in enumerate("xyz")}
+def gyroscope_v1(chars):
+    return {a: F.lit(250.0) * (b.sint16(chars, 2 * i) / F.lit(32768.0)) for i, a in enumerate("xyz")}
 
 
-def barometer_v1(data, calibration):
+def barometer_v1(chars, calibration):
     """Temperature and pressure with the device's eight calibration numbers."""
     c = [b.uint16(calibration, 2 * i) for i in range(4)]
     c += [b.sint16(calibration, 2 * i) for i in range(4, 8)]
-    raw = b.sint16(data, 0).cast("double")
+    raw = b.sint16(chars, 0).cast("double")
     warm = c[0] / F.lit(2.0**24) * raw + c[1] / F.lit(2.0**10)
     gain = c[2] / F.lit(1.0) + c[3] / F.lit(2.0**17) * raw + c[4] / F.lit(2.0**34) * raw * raw
     offset = c[5] * F.lit(2.0**14) + c[6] / F.lit(8.0) * raw + c[7] / F.lit(2.0**19) * raw * raw
-    pressure = (gain * b.uint16(data, 2) + offset) / F.lit(100.0 * 2.0**14)
+    pressure = (gain * b.uint16(chars, 2) + offset) / F.lit(100.0 * 2.0**14)
     return {"temperature": warm, "pressure": pressure}
 
 
-def barometer_bmp280(data):
+def barometer_bmp280(chars):
     return {
-        "temperature": b.uint24(data, 0) / F.lit(100.0),
-        "pressure": b.uint24(data, 3) / F.lit(100.0),
+        "temperature": b.uint24(chars, 0) / F.lit(100.0),
+        "pressure": b.uint24(chars, 3) / F.lit(100.0),
     }
 
 
-def light(data):
-    raw = b.uint16(data, 0)
+def light(chars):
+    raw = b.uint16(chars, 0)
     mantissa = raw.bitwiseAND(F.lit(0xFFF))
     exponent = F.shiftright(raw, 12).cast("int")
     return {"lux": F.lit(0.01) * F.call_function("shiftleft", mantissa, exponent)}
 
 
-def battery(data):
-    return {"percent": b.uint8(data, 0).cast("double")}
+def battery(chars):
+    return {"percent": b.uint8(chars, 0).cast("double")}
 
 
-def keys(data):
-    return {"buttons": b.uint8(data, 0).cast("double")}
+def keys(chars):
+    return {"buttons": b.uint8(chars, 0).cast("double")}
 
 
-def box_temperature(data):
-    return {"temperature": b.sint8(data, 0) + b.uint8(data, 1) / F.lit(100.0)}
+def box_temperature(chars):
+    return {"temperature": b.sint8(chars, 0) + b.uint8(chars, 1) / F.lit(100.0)}
 
 
-def box_pressure(data):
-    return {"pressure": b.uint32(data, 0) + b.uint8(data, 4) / F.lit(100.0)}
+def box_pressure(chars):
+    return {"pressure": b.uint32(chars, 0) + b.uint8(chars, 4) / F.lit(100.0)}
 
 
-def box_humidity(data):
-    return {"humidity": b.sint8(data, 0).cast("double")}
+def box_humidity(chars):
+    return {"humidity": b.sint8(chars, 0).cast("double")}
 
 
-def box_gas(data):
+def box_gas(chars):
     """Carbon dioxide in ppm and organic compounds in ppb, both unsigned 16 bit."""
-    return {"eco2": b.uint16(data, 0).cast("double"), "tvoc": b.uint16(data, 2).cast("double")}
+    return {"eco2": b.uint16(chars, 0).cast("double"), "tvoc": b.uint16(chars, 2).cast("double")}
 
 
-def box_button(data):
-    return {"state": b.sint8(data, 0).cast("double")}
+def box_button(chars):
+    return {"state": b.sint8(chars, 0).cast("double")}
 
 
-def box_tap(data):
-    return {"direction": b.uint8(data, 0).cast("double"), "count": b.sint8(data, 1).cast("double")}
+def box_tap(chars):
+    return {"direction": b.uint8(chars, 0).cast("double"), "count": b.sint8(chars, 1).cast("double")}
 
 
 DECODERS = {
@@ -257,14 +258,18 @@ ROUTES = {
 
 def decode(df, kind, data="data", **inputs):
     """Add the value columns of one payload kind."""
-    return df.withColumns(DECODERS[kind](F.col(data), **inputs))
+    imaged = df.withColumn("_image", b.image(F.col(data)))
+    return imaged.withColumns(DECODERS[kind](F.col("_image"), **inputs)).drop("_image")
 
 
 def decode_barometer(payloads, calibrations, device="device", data="data"):
     """First-generation pressure: every payload meets its device's calibration."""
     joined = payloads.join(calibrations, device)
-    values = barometer_v1(F.col(data), F.col("calibration"))
-    return joined.withColumns(values).drop("calibration")
+    imaged = joined.withColumns(
+        {"_image": b.image(F.col(data)), "_numbers": b.image(F.col("calibration"))}
+    )
+    values = barometer_v1(F.col("_image"), F.col("_numbers"))
+    return imaged.withColumns(values).drop("calibration", "_image", "_numbers")
 
 
 def device_generations(services, device="device", service="service"):
@@ -289,12 +294,23 @@ def decode_all(payloads, data="data"):
     ``readings`` maps value names to numbers; payloads without a decoder keep
     their bytes as hex text, unknown characteristics are tagged as such.
     """
-    named = payloads.withColumn("kind", characteristic_name(F.col("characteristic"), F.col("generation")))
+    named = payloads.withColumns(
+        {
+            "kind": characteristic_name(F.col("characteristic"), F.col("generation")),
+            "_image": b.image(F.col(data)),
+        }
+    )
     readings = None
     for generation, routes in ROUTES.items():
+        chosen = None
         for kind, decoder in routes.items():
-            values = DECODERS[decoder](F.col(data))
+            values = DECODERS[decoder](F.col("_image"))
             made = F.create_map(*[x for n, c in values.items() for x in (F.lit(n), c)])
-            chosen = (F.col("generation") == generation) & (F.col("kind") == kind)
-            readings = F.when(chosen, made) if readings is None else readings.when(chosen, made)
-    return named.withColumns({"readings": readings, "raw": F.lower(F.hex(F.col(data)))})
+            same = F.col("kind") == kind
+            chosen = F.when(same, made) if chosen is None else chosen.when(same, made)
+        family = F.col("generation") == generation
+        readings = F.when(family, chosen) if readings is None else readings.when(family, chosen)
+    # Values past the end of a short payload are left out.  The filter also keeps
+    # the long choice out of one generated method too large for the JVM to compile.
+    readings = F.map_filter(readings, lambda _, value: value.isNotNull())
+    return named.withColumns({"readings": readings, "raw": F.lower(F.hex(F.col(data)))}).drop("_image")

@@ -216,12 +216,12 @@ def unpack_integers(spark, folder):
     made = raw(spark, folder).withColumn(
         "data", packed(("u1", 2), ("u2", 2), ("b1", 1), ("b2", 1), ("u3", 2), ("b3", 1))
     )
-    data = F.col("data")
-    return made.select(
+    data = F.col("_image")
+    return made.withColumn("_image", b.image(F.col("data"))).select(
         *KEYS,
         b.sint16(data, 0).alias("i16"), b.uint16(data, 2).alias("u16"), b.sint8(data, 4).alias("i8"),
         b.uint8(data, 5).alias("u8"), b.uint24(data, 6).alias("u24"), b.uint32(data, 0).alias("u32"),
-        b.signed_hex8(F.hex(F.substring(data, 5, 1))).alias("hex8"),
+        b.signed_hex8(F.hex(F.substring("data", 5, 1))).alias("hex8"),
     )
 
 
