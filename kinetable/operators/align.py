@@ -128,8 +128,9 @@ def gate_by_control(samples, control, device="device", ts="ts", bucket_seconds=8
     busy device is spread over its buckets.
     """
     spans = control_intervals(control, device, ts, slice_seconds=bucket_seconds)
-    last = samples.agg(F.max(ts).alias("_last"))  # one row
-    spans = spans.join(F.broadcast(last)).withColumn(
+    # Open intervals end with the device's last sample; no samples, no interval.
+    last = samples.groupBy(F.col(device).alias("_d")).agg(F.max(ts).alias("_last"))
+    spans = spans.join(last, F.col(device) == F.col("_d")).withColumn(
         "_until", F.least(F.coalesce("until", "_last"), F.col("_last"))
     )
     spans = spans.where(F.col("since") <= F.col("_until"))

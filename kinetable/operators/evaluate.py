@@ -122,11 +122,7 @@ def roc_points(scores, score="score", hit="hit"):
     grouped = scores.groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.sum(hit).cast("long").alias("pos"), F.sum(1 - F.col(hit)).cast("long").alias("neg")
     )
-    summed = running_totals(grouped, "threshold", ["pos", "neg"], descending=True)
-    totals = scores.agg(
-        F.sum(hit).cast("long").alias("all_pos"), F.sum(1 - F.col(hit)).cast("long").alias("all_neg")
-    )
-    points = summed.join(F.broadcast(totals))  # one row
+    points = running_totals(grouped, "threshold", ["pos", "neg"], descending=True)
     return points.select(
         "threshold", "pos", "neg",
         F.col("cum_pos").cast("long").alias("tp"),

@@ -140,7 +140,7 @@ def running_totals(df, order, values, descending=False, parts=None):
 
     The table is cut into quantile ranges; sums run within each range and the
     totals of the ranges before it are added.  No task sees more than one range.
-    Columns ``cum_<value>`` are added.
+    Columns ``cum_<value>`` and ``all_<value>`` (the grand total) are added.
     """
     spark = df.sparkSession
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
@@ -153,13 +153,17 @@ def running_totals(df, order, values, descending=False, parts=None):
     totals = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     # At most ``parts`` rows, fixed by the cut points and not by the data.
     ahead = Window.partitionBy(F.lit(0)).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(F.lit(0))
     offsets = totals.select(
         "_range",
         *[F.coalesce(F.sum(f"_t_{v}").over(ahead), F.lit(0)).alias(f"_o_{v}") for v in values],
+        *[F.sum(f"_t_{v}").over(everything).alias(f"all_{v}") for v in values],
     )
     inside = Window.partitionBy("_range").orderBy(walk).rowsBetween(Window.unboundedPreceding, 0)
     summed = ranged.select("*", *[F.sum(v).over(inside).alias(f"_w_{v}") for v in values])
     joined = summed.join(F.broadcast(offsets), "_range")
     return joined.select(
-        *df.columns, *[(F.col(f"_w_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values]
+        *df.columns,
+        *[(F.col(f"_w_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values],
+        *[f"all_{v}" for v in values],
     )
