@@ -13,11 +13,12 @@ AXIS_PAIRS = (("x", "y"), ("x", "z"), ("y", "z"))
 
 # Statistics of one column share aggregates (sum, count, central moment); Spark
 # computes equal aggregates of a grouping once.  This keeps the row buffer of a
-# full feature set below the field limit of whole-stage code generation.
+# full feature set within the field limit of whole-stage code generation, and the
+# results in methods small enough for the JVM to compile.
 
 
 def mean(c):
-    return F.sum(c) / F.nullif(F.count(c), F.lit(0))
+    return F.try_divide(F.sum(c), F.count(c))
 
 
 def std(c):
@@ -25,10 +26,7 @@ def std(c):
 
 
 def rms(c):
-    """Root mean square from mean and variance; both parts are non-negative."""
-    n = F.count(c)
-    spread = F.var_samp(c) * (n - F.lit(1)) / F.nullif(n, F.lit(0))
-    return F.sqrt(mean(c) * mean(c) + F.coalesce(spread, F.lit(0.0)))
+    return F.sqrt(F.try_divide(F.sum(c * c), F.count(c)))
 
 
 def safe_corr(a, b):

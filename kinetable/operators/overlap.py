@@ -102,7 +102,7 @@ def frame_features(
     keys = list(keys)
     sized = isinstance(w, (int, float))
     half = int(w / 2) if sized else None
-    min_rows = (half if sized else 0) if min_rows is None else int(min_rows)
+    min_rows = half if sized and min_rows is None else int(min_rows or 0)
     frames = expand_frames(df, w, step, start, pos)
     bins = [FFT_BINS[name] for name in fft]
     if fft:
@@ -123,7 +123,7 @@ def frame_features(
         for c in axis_columns(layout):
             spread = F.var_samp(F.when(recent, F.col(c)))
             columns.append(F.when(enough & (spread > 0), F.lit(1.0)).alias(c))
-    names = [c for c in feature_columns(layout, f_list, magnitude, fft, correlations)]
+    names = feature_columns(layout, f_list, magnitude, fft, correlations)
     helpers = [F.max(pos).alias("_last"), F.count(F.lit(1)).alias("n_rows")]
     if label and label in df.columns:
         if label_rule == "majority":
@@ -136,13 +136,12 @@ def frame_features(
         grouped = grouped.join(frames.groupBy(*keys, "win_end").agg(*custom), [*keys, "win_end"])
     # A frame exists only if the row at its end exists.
     whole = grouped.where(F.col("_last") == F.col("win_end"))
-    if correlations == "self":
-        # Its own minimum is the full half window.
-        short = [c for c in names if c not in axis_columns(layout)]
-    else:
-        short = names
-    seen = F.col("n_rows") >= F.lit(min_rows)
-    finished = whole.withColumns({c: F.when(seen, F.col(c)) for c in short}) if min_rows else whole
+    finished = whole
+    if sized and start + 1 < min_rows:
+        # The first frames are too short; self-correlation has its own minimum.
+        own = axis_columns(layout) if correlations == "self" else []
+        seen = F.col("n_rows") >= F.lit(min_rows)
+        finished = finished.withColumns({c: F.when(seen, F.col(c)) for c in names if c not in own})
     if fill is not None:
         finished = finished.withColumns({c: F.coalesce(F.col(c), F.lit(float(fill))) for c in names})
     tail = [label] if label and label in df.columns else []

@@ -21,17 +21,25 @@ def query(name, sql=None):
 
 
 def rounded(df, digits=6):
-    """Round all double columns, so that the order of a sum does not matter."""
-    kinds = dict(df.dtypes)
-    return df.select(
-        *[
-            # Adding zero turns -0.0 into 0.0.
-            (F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if kinds[c] == "double"
-            else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "smallint", "tinyint")
-            else F.col(c)
-            for c in df.columns
-        ]
-    )
+    """Round all double columns, so that the order of a sum does not matter.
+
+    Spark's rounding never gives -0.0; the SQL twins add zero for that.  Wide
+    tables are rounded as one array, which keeps the generated code small.
+    """
+    doubles = [c for c, kind in df.dtypes if kind == "double"]
+    wide = len(doubles) > 20
+    source = df
+    if wide:
+        whole = F.transform(F.array(*doubles), lambda x: F.round(x, digits))
+        source = df.withColumn("_rounded", whole)
+    columns = []
+    for c, kind in df.dtypes:
+        if kind == "double":
+            value = F.get("_rounded", F.lit(doubles.index(c))) if wide else F.round(F.col(c), digits)
+        else:
+            value = F.col(c).cast("long") if kind in ("int", "smallint", "tinyint") else F.col(c)
+        columns.append(value.alias(c))
+    return source.select(*columns)
 
 
 # The recordings of kinetable.plans.tables.imu, written independently in SQL.
