@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from kinetable.operators.ordering import time_slice, with_neighbour
 from kinetable.schema import CHEST_ACTIVITIES, RECORDED_ACTIVITIES, STILL_POSES
 
+# ---------------------------------------------------------------- fixed values
+# Bits of a button notification and their names.
 ALL_BUTTONS = 3
+BUTTON_NAMES = {1: "Right button", 2: "Left button", 3: "Both buttons"}
+# ------------------------------------------------------------ end fixed values
 
 CATALOGUES = {
     "chest": CHEST_ACTIVITIES,
@@ -70,14 +74,8 @@ def keypress_edges(presses, device="device", ts="ts", value="value", slice_secon
 
 def button_name(mask):
     """Readable name of a button mask."""
-    return F.element_at(
-        F.create_map(
-            F.lit(1), F.lit("Right button"),
-            F.lit(2), F.lit("Left button"),
-            F.lit(3), F.lit("Both buttons"),
-        ),
-        mask.cast("int"),
-    )
+    names = F.create_map(*[F.lit(x) for pair in BUTTON_NAMES.items() for x in pair])
+    return F.try_element_at(names, mask.cast("int"))
 
 
 def first_per_period(df, keys, ts="ts", seconds=60):

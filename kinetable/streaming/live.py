@@ -7,7 +7,7 @@ what is available and stop, which is also how a scheduled job would run them.
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from kinetable.operators import align, overlap
@@ -169,8 +169,6 @@ def batch_features(pairs, keys=("session_id", "ordinal"), **options):
     aligned = align.align_batches(pairs, keys)
     # Positions count the rows that aligned; a message has at most 20 rows.
     placed = aligned.withColumnRenamed("pos", "_at")
-    from pyspark.sql import Window
-
     order = Window.partitionBy(*keys).orderBy("_at")
     placed = placed.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).drop("_at")
     settings = {"correlations": None, **options}

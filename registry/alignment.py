@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kinetable.operators import align, signals
 from kinetable.plans import tables
 from kinetable.sources import messages as msg
-from registry.common import AXIS, IMU, LONG, query, rounded
+from registry.common import IMU, LONG, query, rounded
 
 WIDE = ", ".join(
     f'{s.lower()}.{a} as "{a}{s}"' for s in "LRC" for a in "xyz"

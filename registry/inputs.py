@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from kinetable.operators import align, clean as cl
+from kinetable.functions.decoders import decode
+from kinetable.operators import align
 from kinetable.plans import tables
 from kinetable.schema import axis_columns
 from kinetable.session import scratch_path
@@ -145,8 +146,6 @@ def payload_table(spark, folder):
         F.lit("2a19").alias("characteristic"), "ts",
         F.unhex(F.lpad(F.hex(F.floor("value") % 100), 2, "0")).alias("data"),
     ).write.parquet(path)
-    from kinetable.functions.decoders import decode
-
     read = decode(files.read_payloads(spark, path), "battery")
     return read.groupBy("device").agg(F.count(F.lit(1)).alias("n"), F.sum("percent").cast("long").alias("total"))
 

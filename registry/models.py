@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from kinetable.operators import evaluate as ev
 from kinetable.operators import knn
-from kinetable.operators.ordering import with_position
 from kinetable.plans import tables
 from registry.common import IMU, query, rounded
 

@@ -1,6 +1,5 @@
 """Sensor and batch alignment, gating and status."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from kinetable.operators import align, signals

@@ -63,7 +63,7 @@ def vectors(spark, n, dim, seed, clusters=4, offset=0):
 
 @pytest.mark.parametrize("pivots,block_rows,query_rows", [(1, 1000, 1000), (6, 40, 17), (25, 10, 1000)])
 def test_neighbours_are_exact(spark, pivots, block_rows, query_rows):
-    train, x, label = vectors(spark, 300, 5, 1)
+    train, x, _ = vectors(spark, 300, 5, 1)
     asked, q, _ = vectors(spark, 60, 5, 2, offset=10_000)
     found = knn.k_nearest(train, asked, 7, pivots=pivots, block_rows=block_rows, query_rows=query_rows).collect()
     assert len(found) == 60 * 7
