@@ -2,10 +2,12 @@
 
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kinetable.operators import clean as cl
 from kinetable.operators import overlap, tumble
+from kinetable.operators.evaluate import ordered_split
 from kinetable.operators.ordering import with_position
 from kinetable.plans import tables
 from registry.common import AXIS, IMU, query, rounded, sql_corr, sql_round, sql_statistic
@@ -289,8 +291,6 @@ def custom_statistic(spark, folder):
     from binned group by session_id, win_start""",
 )
 def window_apply(spark, folder):
-    import pandas as pd
-
     def ends(rows):
         x = rows["xL"]
         return pd.DataFrame({"first": [x.iloc[0]], "last": [x.iloc[-1]], "n": [len(x)]})
@@ -301,13 +301,12 @@ def window_apply(spark, folder):
 
 @query(
     "imputed_features",
-    f"""with {IMU}, sided as (select session_id, {sql_bins(1)}, {sql_corr("xL", "yL")} as c, avg("zR") as m
-      from (select *, {sql_bins(1)} from clean) group by session_id, win_start),
-    filled as (select session_id, win_start, coalesce(c, (select avg(c) from sided where session_id % 4 <> 0)) as c, m
-      from sided where session_id % 4 = 0)
-    select session_id, win_start, round(c, 6) + 0.0 as "xyL", round(m, 6) + 0.0 as "zR_mean_r" from filled""".replace(
-        f"{sql_bins(1)}, {sql_corr('xL', 'yL')}", f"win_start, {sql_corr('xL', 'yL')}"
-    ),
+    f"""with {IMU}, binned as (select *, {sql_bins(1)} from clean),
+    sided as (select session_id, win_start, {sql_corr("xL", "yL")} as c, avg("zR") as m
+      from binned group by session_id, win_start),
+    filled as (select session_id, win_start, m,
+      coalesce(c, (select avg(c) from sided where session_id % 4 <> 0)) as c from sided where session_id % 4 = 0)
+    select session_id, win_start, round(c, 6) + 0.0 as "xyL", round(m, 6) + 0.0 as "zR_mean_r" from filled""",
 )
 def imputed_features(spark, folder):
     full = tumble.tumble_features(tables.clean_imu(spark, folder), "1s", f_list=("mean",), keep_incomplete=True)
@@ -498,8 +497,6 @@ def overlap_custom(spark, folder):
     where win_end > 0 and win_end % 10 = 0""",
 )
 def split_side_features(spark, folder):
-    from kinetable.operators.evaluate import ordered_split
-
     sided = with_position(ordered_split(tables.clean_imu(spark, folder)), ["session_id", "side"], ["seq"])
     full = overlap.frame_features(
         sided, 20, 10, 10, keys=("session_id", "side"), f_list=("mean",), magnitude=False, correlations=None,
