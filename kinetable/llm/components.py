@@ -36,3 +36,21 @@ def connected_components(edges, a="a", b="b"):
     if labels is None:
         return edges.sparkSession.createDataFrame([], "node long, label long")
     return labels
+
+
+def forest(pairs):
+    """Those of the pairs that connect what is not yet connected, in order."""
+    root, kept = {}, []
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            kept.append((a, b))
+    return kept

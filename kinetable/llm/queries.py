@@ -1,4 +1,15 @@
 """All queries of the training-data operators; importing the module fills the registry."""
 
-from kinetable.llm import ngram_join  # noqa: F401
+from kinetable.llm import (  # noqa: F401
+    decontamination,
+    language_id,
+    license_scan,
+    multi_index,
+    ngram_join,
+    piece_codec,
+    quality,
+    secret_scan,
+    token_counts,
+    toxicity,
+)
 from kinetable.llm.base import ORACLES, QUERIES  # noqa: F401
