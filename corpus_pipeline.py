@@ -24,7 +24,7 @@ from kinetable.llm.pieces import default_model
 
 def drop_low_quality(spark, docs, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    found = quality.classify_quality(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    found = quality.classify_quality(docs, labels)
     return quality.drop_documents(docs, found.where("not kept"))
 
 

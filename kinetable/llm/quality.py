@@ -85,17 +85,19 @@ def expanded(values):
     return np.concatenate([values, values**2], axis=1)
 
 
-def fit(labelled, sample=SAMPLE, penalty=1e-2, steps=25):
+def fit(docs, labels, sample=SAMPLE, penalty=1e-2, steps=25):
     """(weights, offset, base log odds) of a ridge logistic classifier, by Newton's method.
 
-    ``labelled`` has doc_id, text and quality (0 or 1).  About ``sample``
-    documents, chosen by a hash of the id, are measured and fitted.
+    ``docs`` has doc_id and text, ``labels`` doc_id and quality (0 or 1).
+    About ``sample`` labels, chosen by a hash of the id, are sent to the tasks;
+    their documents are measured and fitted.
     """
-    labelled = labelled.where("quality in (0, 1)")
-    total = labelled.count()
+    labels = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    total = labels.count()
     place = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20))
-    chosen = labelled.where(place < int((1 << 20) * min(1.0, sample / max(1, total))))
-    rows = sorted((r["quality"], r["measures"]) for r in measured(chosen.withColumn("quality", F.col("quality").cast("int")), ["quality"]).toLocalIterator())
+    few = labels.where(place < int((1 << 20) * min(1.0, sample / max(1, total))))
+    chosen = measured(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), ["quality"])
+    rows = sorted((r["quality"], r["measures"]) for r in chosen.toLocalIterator())
     labels = np.array([r[0] for r in rows], dtype=float)
     width = 2 * FEATURES
     if not len(rows) or labels.min() == labels.max():
@@ -146,10 +148,10 @@ def strength(groups, prior):
     return float(min(MOST_STRENGTH, max(LEAST_STRENGTH, row["most"] / row["between"] - 1)))
 
 
-def classify_quality(docs, labelled, host="source", path="lang", threshold=THRESHOLD):
+def classify_quality(docs, labels, host="source", path="lang", threshold=THRESHOLD):
     """(doc_id, host, path, classifier, prior, posterior, kept) of documents (doc_id, text, host, path).
 
-    ``labelled`` (doc_id, text, quality) trains the classifier.  ``classifier``
+    ``labels`` (doc_id, quality) trains the classifier.  ``classifier``
     is the probability from the text alone, ``prior`` that of the path without
     the document, ``posterior`` both together; ``kept`` from ``threshold`` on.
     Null hosts and paths are groups of their own; a null or empty text has the
@@ -163,7 +165,7 @@ def classify_quality(docs, labelled, host="source", path="lang", threshold=THRES
         F.col(host).cast("string").alias("host"),
         F.col(path).cast("string").alias("path"),
     )
-    model = fit(labelled)
+    model = fit(docs, labels)
     scored = written(evidence(docs, model, ["doc_id", "host", "path"]), "quality")
     paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("likely").alias("good")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -201,4 +203,4 @@ def drop_documents(docs, ids):
 def op6_quality(spark, folder):
     docs = table(spark, folder, "documents")
     labels = table(spark, folder, "labels").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    return classify_quality(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    return classify_quality(docs, labels)

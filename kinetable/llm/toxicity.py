@@ -109,20 +109,22 @@ class Windows:
         return found
 
 
-def train(labelled, sample=SAMPLE):
+def train(docs, labels, sample=SAMPLE):
     """The model (dictionary contents, probability of each pair of lengths, base rate).
 
-    ``labelled`` has doc_id, text and toxic.  About ``sample`` documents of
-    each label are read, chosen by a hash of their ids: a bound on what the
-    driver holds.  One half trains the dictionaries, the other calibrates.
+    ``docs`` has doc_id and text, ``labels`` doc_id and toxic.  About ``sample``
+    labels of each kind are chosen by a hash of their ids: a bound on what is
+    sent to the tasks and on what the driver holds.  One half trains the
+    dictionaries, the other calibrates.
     """
-    labelled = labelled.where("toxic in (0, 1)")
-    counts = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    labels = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic")
+    counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     share = F.lit(1.0)
     for label, n in counts.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, sample / n))).otherwise(share)
     place = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20))
-    chosen = labelled.where(place < share * (1 << 20)).select("toxic", F.pmod(place, F.lit(2)).alias("half"), F.coalesce("text", F.lit("")).alias("text"))
+    few = labels.where(place < share * (1 << 20)).select("doc_id", "toxic", F.pmod(place, F.lit(2)).alias("half"))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("toxic", "half", F.coalesce("text", F.lit("")).alias("text"))
     halves = {(t, h): [] for t in (0, 1) for h in (0, 1)}
     for row in chosen.orderBy(F.xxhash64("text")).toLocalIterator():
         halves[row["toxic"], row["half"]].append(words_of(row["text"]))
@@ -167,6 +169,5 @@ def score_toxicity(docs, model):
 def op10_toxicity(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    learnt = docs.join(labels.where(crc_mod("doc_id", 5) != 0), "doc_id")
-    scored = score_toxicity(docs, train(learnt))
+    scored = score_toxicity(docs, train(docs, labels.where(crc_mod("doc_id", 5) != 0)))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
