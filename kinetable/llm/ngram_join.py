@@ -9,10 +9,12 @@ ones are dealt into ``m`` classes and indexed as pairs within a class: of
 set sizes, and a document is indexed for its own band and the next one, which
 covers all sizes a partner can have.
 
-Equal sets are one node from the start, so copies cost one row a task.  A
-first round verifies every node against the one node it shares most keys with
-of those that stand first in a key; the second round looks only at pairs of
-different components, so large groups of near copies are never spelt out.
+Equal sets are one node from the start, so copies cost one row a task.  The
+verification compares small blocks of like nodes as sparse products: first
+each block with itself and with one node of the block it shares most keys
+with, then only nodes and blocks that share keys and are not connected yet.  Only links that
+connect something new leave a pair of blocks, so large groups of near copies
+are never spelt out.
 """
 
 import numpy as np
@@ -22,18 +24,20 @@ from pyspark.sql import functions as F
 
 from kinetable.llm import textbytes as tb
 from kinetable.llm.base import query, table, written
-from kinetable.llm.components import connected_components
+from kinetable.llm.components import connected_components, forest
 from kinetable.session import checkpointed
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 SHINGLE_WORDS = 5
 SIMILARITY = 80
 #: A token is frequent from about this share of the documents on.
-FREQUENT_SHARE = 1 / 4000
+FREQUENT_SHARE = 1 / 16_000
 #: Prefixes are extended by this share of the set.
 EXTENSION = 0.03
 #: Tokens counted together in a task before the heavy ones are reported.
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
+#: Nodes compared together.
+BLOCK_NODES = 128
 #: Ids that may be sent to all executors; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -159,12 +163,12 @@ def prefix_keys(tokens, frequent):
 
 
 def index_rows(docs, words, frequent, only_keys):
-    """Rows (key) or (key, node, n, need), once for each distinct set of a task."""
+    """Rows (key) or (key, node, need), once for each distinct set of a task."""
 
     def run(batches):
         known = set()
         for _, sets in sets_of(batches, words):
-            keys, nodes, sizes, needs = [], [], [], []
+            keys, nodes, needs = [], [], []
             for s in sets:
                 if len(s) < 4:  # smaller sets link with equal ones only, which are one node
                     continue
@@ -175,17 +179,16 @@ def index_rows(docs, words, frequent, only_keys):
                 own, need = prefix_keys(s, frequent)
                 keys.append(own)
                 nodes.append(node)
-                sizes.append(len(s))
                 needs.append(need)
             if not keys:
                 continue
             columns = [pa.array(np.concatenate(keys).view(np.int64))]
             if not only_keys:
                 lengths = [len(k) for k in keys]
-                columns += [pa.array(np.repeat(np.array(x, dtype=kind), lengths)) for x, kind in ((nodes, np.int64), (sizes, np.int32), (needs, np.int32))]
-            yield pa.record_batch(columns, names=["key", "node", "n", "need"][: len(columns)])
+                columns += [pa.array(np.repeat(np.array(x, dtype=kind), lengths)) for x, kind in ((nodes, np.int64), (needs, np.int32))]
+            yield pa.record_batch(columns, names=["key", "node", "need"][: len(columns)])
 
-    return docs.mapInArrow(run, "key long" if only_keys else "key long, node long, n int, need int")
+    return docs.mapInArrow(run, "key long" if only_keys else "key long, node long, need int")
 
 
 def shared_members(docs, words, frequent):
@@ -193,41 +196,52 @@ def shared_members(docs, words, frequent):
     alive = index_rows(docs, words, frequent, True).groupBy("key").count().where("count > 1").select("key")
     rows = index_rows(docs, words, frequent, False)
     members = written(rows.join(alive.hint("shuffle_hash"), "key").distinct(), "members")
-    for last in (False, True):
-        keys = members.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
-        members = members.join(keys, "key", "left_semi")
-        enough = members.groupBy("node").agg(F.count("*").alias("c"), F.max("need").alias("q")).where("c >= q").select("node")
-        members = checkpointed(members.join(enough, "node", "left_semi"))
-    return members
-
-
-def overlap(left, right):
-    """Number of common values of two byte strings of sorted distinct hashes."""
-    a, b = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
-
-
-def verified(pairs, sets):
-    """The pairs (a, b) whose sets reach the similarity, compared exactly."""
-
-    def run(batches):
-        for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = []
-            for x, y in zip(left, right):
-                small, large = sorted((len(x) // 8, len(y) // 8))
-                both = overlap(x, y) if 100 * small >= SIMILARITY * large else 0
-                keep.append(100 * both >= SIMILARITY * (small + large - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-    two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
-    return both.mapInArrow(run, "a long, b long")
+    keys = members.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
+    members = checkpointed(members.join(keys, "key", "left_semi"))
+    enough = members.groupBy("node").agg(F.count("*").alias("c"), F.max("need").alias("q")).where("c >= q").select("node")
+    return checkpointed(members.join(enough, "node", "left_semi"))
+
+
+def common_counts(left, right):
+    """Matrix of the number of common values of two lists of sorted distinct arrays."""
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    values = [np.concatenate(x) for x in (left, right)]
+    common = np.intersect1d(*values)
+    counts = np.zeros((len(left), len(right)), dtype=np.float32)
+    places, owners = [], []
+    for row, value in zip(rows, values):
+        at = np.minimum(np.searchsorted(common, value), max(len(common) - 1, 0))
+        hit = common[at] == value if len(common) else np.zeros(len(value), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append(at[hit][order])
+        owners.append(row[hit][order])
+    for low in range(0, len(common), 4096):
+        parts = []
+        for place, owner, size in zip(places, owners, counts.shape):
+            a, b = np.searchsorted(place, (low, low + 4096))
+            part = np.zeros((size, min(4096, len(common) - low)), dtype=np.float32)
+            part[owner[a:b], place[a:b] - low] = 1
+            parts.append(part)
+        counts += parts[0] @ parts[1].T
+    return counts.astype(np.int64)
+
+
+def links_of_blocks(key, rows):
+    """Links that connect exactly what all links between the two blocks of a pair connect."""
+    x, y = (k.as_py() for k in key)
+    blocks, nodes = rows.column("block").to_numpy(), rows.column("node").to_numpy()
+    tokens = [np.frombuffer(t.as_py(), dtype=np.uint64) for t in rows.column("tokens")]
+    left, right = np.flatnonzero(blocks == x), np.flatnonzero(blocks == y)
+    found = []
+    if len(left) and len(right):
+        counts = common_counts([tokens[i] for i in left], [tokens[i] for i in right])
+        sizes = np.array([len(t) for t in tokens])
+        union = sizes[left][:, None] + sizes[right][None, :] - counts
+        for i, j in np.argwhere(100 * counts >= SIMILARITY * union):
+            if nodes[left[i]] != nodes[right[j]]:
+                found.append((int(nodes[left[i]]), int(nodes[right[j]])))
+    kept = forest(found)
+    return pa.table({"a": pa.array([k[0] for k in kept], pa.int64()), "b": pa.array([k[1] for k in kept], pa.int64())})
 
 
 def sets_of_nodes(docs, found, nodes, words):
@@ -255,33 +269,69 @@ def sets_of_nodes(docs, found, nodes, words):
     return written(sets.join(ids, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "tokens"), "sets")
 
 
+def blocks_of(members):
+    """(node, block): nodes stand with the node they share most keys with, of those that stand first in a key.
+
+    A block has about BLOCK_NODES nodes at most.
+    """
+    firsts = members.groupBy("key").agg(F.min("node").alias("first"))
+    shared = members.join(firsts, "key").groupBy("node", "first").count()
+    anchors = shared.groupBy("node").agg(F.max(F.struct("count", "first")).alias("m")).select("node", F.col("m.first").alias("anchor"))
+    parts = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts"))
+    return anchors.join(parts, "anchor").select("node", F.xxhash64("anchor", F.pmod("node", "parts")).alias("block"))
+
+
+def best_sides(placed):
+    """(x, y, block, node) with x = y: the nodes of each block, and the hub of another one.
+
+    The hub is the node with most keys of the block that this one shares most
+    keys with, of the blocks that stand first in a key.
+    """
+    nodes = checkpointed(placed.groupBy("block", "node").agg(F.count("*").alias("c")))
+    hubs = nodes.groupBy("block").agg(F.max(F.struct("c", "node")).alias("m")).select(F.col("block").alias("first"), F.col("m.node").alias("node"))
+    firsts = placed.groupBy("key").agg(F.min("block").alias("first"))
+    shared = placed.join(firsts, "key").where("block <> first").groupBy("block", "first").count()
+    best = shared.groupBy("block").agg(F.max(F.struct("count", "first")).alias("m")).select("block", F.col("m.first").alias("first"))
+    rows = nodes.select("block", "node").unionByName(best.join(hubs, "first").select("block", "node"))
+    several = rows.groupBy("block").count().where("count > 1").select("block")
+    return rows.join(several, "block", "left_semi").select(F.col("block").alias("x"), F.col("block").alias("y"), "block", "node")
+
+
+def open_sides(placed):
+    """(x, y, block, node): for each two blocks x <= y, the nodes of either that may have a partner of another label in the other.
+
+    A node needs as many keys in common with the other block as a partner has
+    with it at least; pairs without such nodes on both sides go.
+    """
+    met = placed.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")).withColumnRenamed("block", "other")
+    shared = checkpointed(
+        placed.join(met, "key")
+        .where("label <> low or label <> high")
+        .groupBy("block", "other", "node")
+        .agg(F.count("*").alias("c"), F.max("need").alias("q"))
+        .where("c >= q")
+        .select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node")
+    )
+    lively = shared.groupBy("x", "y").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.count("*").alias("c"))
+    return shared.join(lively.where("low = x and high = y and c > 1").select("x", "y"), ["x", "y"], "left_semi")
+
+
+def linked_sides(sides, sets):
+    compared = sides.join(sets, "node").select("x", "y", "block", "node", "tokens")
+    return checkpointed(compared.groupBy("x", "y").applyInArrow(links_of_blocks, "a long, b long"))
+
+
 def ngram_links(docs, found, words=SHINGLE_WORDS, share=FREQUENT_SHARE):
     """Verified links (a, b) between nodes that connect exactly what all links connect."""
     frequent = frequent_tokens(found, found.where("node is not null").count(), share)
     members = shared_members(docs, words, frequent)
+    placed = checkpointed(members.join(blocks_of(members), "node").select("key", "node", "need", "block"))
     sets = sets_of_nodes(docs, found, members.select("node").distinct(), words)
-
-    firsts = members.groupBy("key").agg(F.min("node").alias("a"))
-    stars = members.join(firsts, "key").where("node <> a").groupBy("node", "a").count()
-    best = stars.groupBy("node").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("node").alias("b"))
-    links = checkpointed(verified(best, sets))
+    links = linked_sides(best_sides(placed), sets)
     labels = connected_components(links)
-
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    labelled = checkpointed(labelled.join(open_keys, "key", "left_semi"))
-    one = labelled.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("need").alias("qa"))
-    two = labelled.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("need").alias("qb"))
-    near = (F.col("na") * 100 >= F.col("nb") * SIMILARITY) & (F.col("nb") * 100 >= F.col("na") * SIMILARITY)
-    pairs = (
-        one.join(two, "key")
-        .where((F.col("la") < F.col("lb")) & near)
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("c"), F.max(F.greatest("qa", "qb")).alias("q"))
-        .where("c >= q")
-        .select("a", "b")
-    )
-    return links.unionByName(checkpointed(verified(pairs, sets)))
+    placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return links.unionByName(linked_sides(open_sides(checkpointed(placed.join(mixed_keys, "key", "left_semi"))), sets))
 
 
 def ngram_jaccard_join(docs, words=SHINGLE_WORDS, share=FREQUENT_SHARE):
