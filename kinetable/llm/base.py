@@ -8,7 +8,7 @@ QUERIES = {}
 ORACLES = {}
 
 #: Text bytes that one vectorised step holds; a longer single text is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 
 
 def query(name, sql=None):

@@ -9,7 +9,7 @@ BLANK = "▁"
 #: A run of blanks and the word after it.
 SEGMENT = re.compile(" +[^ ]*")
 #: Words whose result a task keeps; then it starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 60_000
 
 
 def default_model():

@@ -54,7 +54,9 @@ def steps(batches, column="text"):
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(column)
-        texts = batch.column(at).cast(pa.large_string()).fill_null("")
+        texts = batch.column(at).cast(pa.large_string())
+        if texts.null_count:
+            texts = texts.fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
         first = 0
@@ -64,6 +66,8 @@ def steps(batches, column="text"):
             own = offsets[first : last + 1]
             yield batch.slice(first, last - first), data[own[0] : own[-1]], own - own[0]
             first = last
+        del texts, data, offsets
+        pa.default_memory_pool().release_unused()
 
 
 def word_spans(data, offsets, table):

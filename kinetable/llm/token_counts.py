@@ -23,7 +23,7 @@ from kinetable.llm.pieces import BLANK, KEPT_WORDS, default_model, pieces, segme
 #: Tokens a document may have before it counts as over the limit.
 LIMIT = 4096
 #: Pairs of pieces whose fate a task keeps.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 500_000
 
 
 class PrefixCounter:

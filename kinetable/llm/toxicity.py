@@ -36,7 +36,7 @@ KNOWN_BYTES = 6
 #: Weight of the base rate, in documents, when a pair of lengths is calibrated.
 PRIOR = 4
 #: Words whose lengths a task keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 
 def words_of(text):
