@@ -228,10 +228,10 @@ def unpack_integers(spark, folder):
 @query(
     "device_generations",
     """select l_suppkey as device, case when max(case when l_partkey % 7 = 0 then 1 else 0 end) = 1 then 'CC2650' else 'v1' end
-      as generation from lineitem where l_quantity > 45 group by l_suppkey""",
+      as generation from lineitem group by l_suppkey""",
 )
 def device_generations(spark, folder):
-    line = tables.table(spark, folder, "lineitem").where("l_quantity > 45")
+    line = tables.table(spark, folder, "lineitem")
     services = line.select(
         F.col("l_suppkey").alias("device"),
         F.when(F.col("l_partkey") % 7 == 0, "AA70").otherwise(F.concat(F.lit("AA"), F.col("l_linenumber"), F.lit("0"))).alias("service"),
