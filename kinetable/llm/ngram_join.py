@@ -10,16 +10,18 @@ set sizes, and a document is indexed for its own band and the next one, which
 covers all sizes a partner can have.
 
 Equal sets are one node from the start, so copies cost one row a task.  The
-verification compares small blocks of like nodes as sparse products: first
-each block with itself and with one node of the block it shares most keys
-with, then only nodes and blocks that share keys and are not connected yet.  Only links that
-connect something new leave a pair of blocks, so large groups of near copies
-are never spelt out.
+verification compares small blocks of like nodes as sparse products.  A node
+travels as its compressed text, a fraction of its shingles' size, and its set
+is made again where it is compared.  First each block meets itself and one
+node of the block it shares most keys with, then only nodes and blocks that
+share keys and are not connected yet.  Only links that connect something new
+leave a pair of blocks, so large groups of near copies are never spelt out.
 """
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from kinetable.llm import textbytes as tb
@@ -226,11 +228,21 @@ def common_counts(left, right):
     return counts.astype(np.int64)
 
 
-def links_of_blocks(key, rows):
+def unpacked_sets(packed, words):
+    """Sorted distinct shingles of compressed texts, a few texts at a time."""
+    opened = zstandard.ZstdDecompressor()
+    batches = (
+        pa.record_batch([pa.array([opened.decompress(t.as_py()) for t in packed[low : low + 16]], pa.large_binary()).cast(pa.large_string())], names=["text"])
+        for low in range(0, len(packed), 16)
+    )
+    return [s for _, sets in sets_of(batches, words) for s in sets]
+
+
+def links_of_blocks(key, rows, words):
     """Links that connect exactly what all links between the two blocks of a pair connect."""
     x, y = (k.as_py() for k in key)
     blocks, nodes = rows.column("block").to_numpy(), rows.column("node").to_numpy()
-    tokens = [np.frombuffer(t.as_py(), dtype=np.uint64) for t in rows.column("tokens")]
+    tokens = unpacked_sets(rows.column("packed"), words)
     left, right = np.flatnonzero(blocks == x), np.flatnonzero(blocks == y)
     found = []
     if len(left) and len(right):
@@ -245,7 +257,7 @@ def links_of_blocks(key, rows):
 
 
 def sets_of_nodes(docs, found, nodes, words):
-    """(node, tokens) of the given nodes, from the text of one document each.
+    """(node, packed) of the given nodes: the compressed text of one document each.
 
     The ids are sent to all tasks up to BROADCAST_IDS; more meet their texts
     in a shuffled join.
@@ -259,14 +271,20 @@ def sets_of_nodes(docs, found, nodes, words):
     texts = docs.join(wanted, "doc_id", "left_semi")
 
     def run(batches):
+        packer = zstandard.ZstdCompressor(level=6)
         for rows, sets in sets_of(batches, words):
+            column = rows.column(rows.schema.get_field_index("text"))
             yield pa.record_batch(
-                [rows.column(rows.schema.get_field_index("doc_id")), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "node", "tokens"],
+                [
+                    rows.column(rows.schema.get_field_index("doc_id")),
+                    pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([packer.compress((t.as_py() or "").encode()) for t in column], pa.binary()),
+                ],
+                names=["doc_id", "node", "packed"],
             )
 
-    sets = texts.mapInArrow(run, "doc_id long, node long, tokens binary")
-    return written(sets.join(ids, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "tokens"), "sets")
+    sets = texts.mapInArrow(run, "doc_id long, node long, packed binary")
+    return written(sets.join(ids, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "packed"), "sets")
 
 
 def blocks_of(members):
@@ -316,9 +334,12 @@ def open_sides(placed):
     return shared.join(lively.where("low = x and high = y and c > 1").select("x", "y"), ["x", "y"], "left_semi")
 
 
-def linked_sides(sides, sets):
-    compared = sides.join(sets, "node").select("x", "y", "block", "node", "tokens")
-    return checkpointed(compared.groupBy("x", "y").applyInArrow(links_of_blocks, "a long, b long"))
+def linked_sides(sides, sets, words):
+    def links(key, rows):
+        return links_of_blocks(key, rows, words)
+
+    compared = sides.join(sets, "node").select("x", "y", "block", "node", "packed")
+    return checkpointed(compared.groupBy("x", "y").applyInArrow(links, "a long, b long"))
 
 
 def ngram_links(docs, found, words=SHINGLE_WORDS, share=FREQUENT_SHARE):
@@ -327,11 +348,11 @@ def ngram_links(docs, found, words=SHINGLE_WORDS, share=FREQUENT_SHARE):
     members = shared_members(docs, words, frequent)
     placed = checkpointed(members.join(blocks_of(members), "node").select("key", "node", "need", "block"))
     sets = sets_of_nodes(docs, found, members.select("node").distinct(), words)
-    links = linked_sides(best_sides(placed), sets)
+    links = linked_sides(best_sides(placed), sets, words)
     labels = connected_components(links)
     placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return links.unionByName(linked_sides(open_sides(checkpointed(placed.join(mixed_keys, "key", "left_semi"))), sets))
+    return links.unionByName(linked_sides(open_sides(checkpointed(placed.join(mixed_keys, "key", "left_semi"))), sets, words))
 
 
 def ngram_jaccard_join(docs, words=SHINGLE_WORDS, share=FREQUENT_SHARE):
