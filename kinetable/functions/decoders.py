@@ -213,6 +213,7 @@ DECODERS = {
     "humidity_signed": humidity_signed,
     "magnetometer_v1": magnetometer_v1,
     "gyroscope_v1": gyroscope_v1,
+    "barometer_v1": barometer_v1,
     "barometer_bmp280": barometer_bmp280,
     "light": light,
     "battery": battery,
@@ -233,6 +234,7 @@ ROUTES = {
         "humidity": "humidity_v1",
         "magnetometer": "magnetometer_v1",
         "gyroscope": "gyroscope_v1",
+        "barometer": "barometer_v1",
         "keys": "keys",
     },
     "CC2650": {
@@ -288,23 +290,33 @@ def characteristic_name(code, generation):
     return F.coalesce(F.when(generation == "box", F.coalesce(box, tag)).otherwise(tag), F.lit("unknown"))
 
 
-def decode_all(payloads, data="data"):
+def decode_all(payloads, data="data", firmware=None, calibration=None):
     """Decode a mixed table (generation, characteristic code, data) in one scan.
 
     ``readings`` maps value names to numbers; payloads without a decoder keep
     their bytes as hex text, unknown characteristics are tagged as such.
+    ``firmware`` and ``calibration`` name columns with the device's revision
+    text and its sixteen calibration bytes.  Without a firmware a
+    first-generation accelerometer has the scale of the later ones; without
+    a calibration its barometer has no readings.
     """
+    inputs = {}
+    if firmware is not None:
+        inputs["accelerometer_v1"] = {"firmware": F.col(firmware)}
+    numbers = F.lit(None).cast("binary") if calibration is None else F.col(calibration)
+    inputs["barometer_v1"] = {"calibration": F.col("_numbers")}
     named = payloads.withColumns(
         {
             "kind": characteristic_name(F.col("characteristic"), F.col("generation")),
             "_image": b.image(F.col(data)),
+            "_numbers": b.image(numbers),
         }
     )
     readings = None
     for generation, routes in ROUTES.items():
         chosen = None
         for kind, decoder in routes.items():
-            values = DECODERS[decoder](F.col("_image"))
+            values = DECODERS[decoder](F.col("_image"), **inputs.get(decoder, {}))
             made = F.create_map(*[x for n, c in values.items() for x in (F.lit(n), c)])
             same = F.col("kind") == kind
             chosen = F.when(same, made) if chosen is None else chosen.when(same, made)
@@ -313,4 +325,4 @@ def decode_all(payloads, data="data"):
     # Values past the end of a short payload are left out.  The filter also keeps
     # the long choice out of one generated method too large for the JVM to compile.
     readings = F.map_filter(readings, lambda _, value: value.isNotNull())
-    return named.withColumns({"readings": readings, "raw": F.lower(F.hex(F.col(data)))}).drop("_image")
+    return named.withColumns({"readings": readings, "raw": F.lower(F.hex(F.col(data)))}).drop("_image", "_numbers")

@@ -2,12 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
-from kinetable.operators.ordering import (
-    hash_slice,
-    running_totals,
-    with_hash_order,
-    with_position,
-)
+from kinetable.operators.ordering import running_totals, with_hash_order, with_position
 
 TEST_SHARE = 0.25
 
@@ -19,9 +14,7 @@ def stratified_split(df, key, label="label", share=TEST_SHARE, seed=0, out="side
     ``round(share * n)`` go to the test side.
     """
     hashed = with_hash_order(df, key, seed)
-    placed = with_position(
-        hashed, [label], ["_h", key], slice_by=hash_slice(), out="_pos", size_out="_n"
-    )
+    placed = with_position(hashed, [label], ["_h", key], out="_pos", size_out="_n")
     first = F.floor(F.col("_n") * F.lit(share) + F.lit(0.5))
     side = F.when(F.col("_pos") < first, "test").otherwise("train")
     return placed.withColumn(out, side).drop("_h", "_pos", "_n")

@@ -11,26 +11,69 @@ they are shuffled.
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window, functions as F
 
-SLICE_WIDTH = 1 << 20
-TEXT_HEAD = 4
-HASH_SLICES = 4096
+#: Slices of a table for each shuffle partition, and sampled rows for each slice.
+SLICES_A_PARTITION = 4
+SAMPLED_A_SLICE = 16
 
 
-def default_slice(df, column):
-    """Slices of an order column: steps of a number, days, or the head of a text."""
-    kind = dict(df.dtypes)[column]
-    if kind == "string":
-        return F.substring(F.col(column), 1, TEXT_HEAD)
+def sortable(df, column):
+    """A text or number that sorts like the column."""
+    kind, value = dict(df.dtypes)[column], F.col(column)
+    if kind in ("string", "bigint", "int", "smallint", "tinyint"):
+        return value if kind == "string" else value.cast("long")
     if kind == "timestamp_ntz":
-        return time_slice(column)
-    return F.floor(F.col(column) / F.lit(SLICE_WIDTH))
+        zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", zero, value)
+    if kind == "timestamp":
+        return F.unix_micros(value)
+    if kind == "date":
+        return F.unix_date(value).cast("long")
+    return value.cast("double")
+
+
+def slice_number(value, cuts):
+    """How far ``value`` reaches in the sorted ``cuts``: 0 before the first, never decreasing.
+
+    Two short searches, first among every n-th cut and then among the cuts
+    after it, so a row costs about twice the root of their number.
+    """
+    if not cuts:
+        return F.when(value.isNotNull(), F.lit(0))
+
+    def reached(among):
+        return F.size(F.filter(among, lambda cut: cut <= value))
+
+    width = int(len(cuts) ** 0.5) + 1
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    group = reached(F.array(*[F.lit(g[0]) for g in groups]))
+    inside = reached(F.get(F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups]), group - 1))
+    number = F.when(group == 0, F.lit(0)).otherwise(group * F.lit(width + 1) + inside)
+    return F.when(value.isNotNull(), number)
+
+
+def default_slice(df, keys, order):
+    """Slices of about equal row counts along the first order column.
+
+    The cuts are quantiles of a sample of the rows, those with the smallest
+    digests of key and order: sixteen a slice, whatever the size of the table.
+    The number of slices follows ``spark.sql.shuffle.partitions``, which is set
+    to the size of cluster and data.  A key with a third of the rows has a
+    third of the sample and as large a share of the slices.  Rows with one and
+    the same order value stay together.  Runs one job over keys and order.
+    """
+    slices = SLICES_A_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = sortable(df, order[0])
+    rows = df.select(value.alias("_v"), F.xxhash64(*keys, *order).alias("_d")).where("_v is not null")
+    sample = rows.orderBy("_d", "_v").limit(slices * SAMPLED_A_SLICE).collect()
+    found = sorted(r["_v"] for r in sample if r["_v"] == r["_v"])
+    return slice_number(value, sorted(set(found[SAMPLED_A_SLICE::SAMPLED_A_SLICE])))
 
 
 def with_position(df, keys, order, slice_by=None, out="pos", size_out=None, among=None):
     """Dense position (from 0) of every row within ``keys`` along ``order``.
 
     ``slice_by`` must be a non-decreasing function of the order columns; by
-    default it is ``default_slice`` of the first order column.  With
+    default it is ``default_slice`` over the first order column.  With
     ``size_out`` the number of rows of the key group is attached as well.
     ``among`` maps further output names to conditions: the position counted
     among the rows that fulfil the condition, NULL for the others, in the same
@@ -38,7 +81,7 @@ def with_position(df, keys, order, slice_by=None, out="pos", size_out=None, amon
     """
     keys, order, among = list(keys), list(order), dict(among or {})
     if slice_by is None:
-        slice_by = default_slice(df, order[0])
+        slice_by = default_slice(df, keys, order)
     sliced = df.withColumn("_slice", slice_by)
     counted = {"": F.lit(1), **{f"_{n}": F.when(c, 1) for n, c in among.items()}}
     counts = sliced.groupBy(*keys, "_slice").agg(
@@ -119,11 +162,6 @@ def with_hash_order(df, key, seed, out="_h"):
     return df.withColumn(out, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
 
 
-def hash_slice(column="_h"):
-    """Slices of a digest order: its first three hex digits, 4096 even slices."""
-    return F.substring(F.col(column), 1, 3)
-
-
 def quantile_splits(df, column, parts):
     """Cut points that divide the values of ``column`` into about equal parts.
 
@@ -144,7 +182,6 @@ def running_totals(df, order, values, descending=False, parts=None):
     """
     spark = df.sparkSession
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    parts = min(parts, 4096)
     cuts = [float("-inf")] + quantile_splits(df, order, parts) + [float("inf")]
     ranged = Bucketizer(splits=cuts, inputCol=order, outputCol="_range").transform(df)
     key, walk = F.col("_range"), F.col(order)

@@ -87,14 +87,10 @@ def first_per_period(df, keys, ts="ts", seconds=60):
     return picked.select(*keys, "period", "_row.*")
 
 
-SMALL_KEY_ROWS = 1_000_000
-
-
-def thin_by_gap(df, key, ts="ts", seconds=60, slice_seconds=86400, small=SMALL_KEY_ROWS):
+def thin_by_gap(df, key, ts="ts", seconds=60, slice_seconds=86400):
     """Keep a row when more than ``seconds`` have passed since the last kept one.
 
-    The rule is sequential per key.  Keys of up to ``small`` rows are walked in
-    one group.  Larger keys are cut into slices of time: every slice lists where
+    The rule is sequential per key.  Keys are cut into slices of time: every slice lists where
     a chain that enters it at one of its first rows would leave it, these short
     lists are chained per key, and every slice then marks its rows from its
     known entry.  Entries lie within the first ``seconds`` of a slice, so the
@@ -107,8 +103,9 @@ def thin_by_gap(df, key, ts="ts", seconds=60, slice_seconds=86400, small=SMALL_K
     zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     timed = df.withColumn("_t", F.timestamp_diff("MICROSECOND", zero, F.col(ts)))
     key_type = dict(df.dtypes)[key]
-    counts = df.groupBy(F.col(key).alias("_key")).agg((F.count(F.lit(1)) > small).alias("_large"))
-    marks = timed.join(counts, F.col(key) == F.col("_key")).select("_key", "_t", "_large")
+    # Rows of one key and time are kept or dropped together.
+    cut = timed.select(F.col(key).alias("_key"), "_t", F.floor(F.col("_t") / F.lit(width)).alias("_s"))
+    cut = cut.where("_key is not null and _t is not null").distinct()
     entry_type = f"_key {key_type}, _s long, _entry long"
     kept_type = f"_key {key_type}, _t long"
 
@@ -143,16 +140,13 @@ def thin_by_gap(df, key, ts="ts", seconds=60, slice_seconds=86400, small=SMALL_K
 
     def mark(group: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(group["_t"].to_numpy())
-        first = group["_entry"].iloc[0] if "_entry" in group else t[0]
-        return pd.DataFrame({"_key": group["_key"].iloc[0], "_t": walk(t, first)})
+        return pd.DataFrame({"_key": group["_key"].iloc[0], "_t": walk(t, group["_entry"].iloc[0])})
 
-    whole = marks.where(~F.col("_large")).select("_key", "_t").groupBy("_key")
-    cut = marks.where("_large").select("_key", "_t", F.floor(F.col("_t") / F.lit(width)).alias("_s"))
     jumps = cut.groupBy("_key", "_s").applyInPandas(
         exits, f"_key {key_type}, _s long, _in long, _out long"
     )
     entries = jumps.groupBy("_key").applyInPandas(chain, entry_type)
     sliced = cut.join(entries, ["_key", "_s"]).groupBy("_key", "_s")
-    kept = whole.applyInPandas(mark, kept_type).unionByName(sliced.applyInPandas(mark, kept_type))
+    kept = sliced.applyInPandas(mark, kept_type)
     found = (timed[key] == kept["_key"]) & (timed["_t"] == kept["_t"])
     return timed.join(kept, found, "left_semi").select(*df.columns)

@@ -182,28 +182,37 @@ def decode_accelerometer_v1(spark, folder):
     return d.decode(made, "accelerometer_v1", firmware=F.col("firmware")).select(*KEYS, "x", "y", "z")
 
 
+# Calibration numbers of a device's first-generation barometer.
+CALIBRATION_SQL = """
+cal as (select s_suppkey as device, 40000 + s_suppkey % 1000 as c1, 30000 + s_suppkey % 999 as c2,
+  45000 + s_suppkey % 998 as c3, 36000 + s_suppkey % 997 as c4, -1000 - s_suppkey % 996 as c5,
+  700 + s_suppkey % 995 as c6, -4000 + s_suppkey % 994 as c7, 5000 + s_suppkey % 993 as c8 from supplier)
+"""
+
+
+def calibrations(spark, folder):
+    key = F.col("s_suppkey")
+    numbers = (
+        40000 + key % 1000, 30000 + key % 999, 45000 + key % 998, 36000 + key % 997,
+        -1000 - key % 996, 700 + key % 995, -4000 + key % 994, 5000 + key % 993,
+    )
+    return tables.table(spark, folder, "supplier").select(
+        key.alias("device"), F.concat(*[b.to_bytes(n, 2) for n in numbers]).alias("calibration")
+    )
+
+
 @query(
     "decode_barometer_v1",
-    f"""with {RAW_SQL}, cal as (select s_suppkey as device, 40000 + s_suppkey % 1000 as c1, 30000 + s_suppkey % 999 as c2,
-      45000 + s_suppkey % 998 as c3, 36000 + s_suppkey % 997 as c4, -1000 - s_suppkey % 996 as c5,
-      700 + s_suppkey % 995 as c6, -4000 + s_suppkey % 994 as c7, 5000 + s_suppkey % 993 as c8 from supplier),
+    f"""with {RAW_SQL}, {CALIBRATION_SQL},
     j as (select raw.k, line, part, {s16('u1')} as t, u2 as p, cal.* from raw join cal using (device))
     select k, line, part, device, round(c1 / 16777216e0 * t + c2 / 1024e0, 6) + 0.0 as temperature,
       round(((c3 + c4 / 131072e0 * t + c5 / 17179869184e0 * t * t) * p
         + (c6 * 16384e0 + c7 / 8e0 * t + c8 / 524288e0 * t * t)) / 1638400e0, 6) + 0.0 as pressure from j""",
 )
 def decode_barometer_v1(spark, folder):
-    key = F.col("s_suppkey")
-    numbers = (
-        40000 + key % 1000, 30000 + key % 999, 45000 + key % 998, 36000 + key % 997,
-        -1000 - key % 996, 700 + key % 995, -4000 + key % 994, 5000 + key % 993,
-    )
-    calibrations = tables.table(spark, folder, "supplier").select(
-        key.alias("device"), F.concat(*[b.to_bytes(n, 2) for n in numbers]).alias("calibration")
-    )
     payloads = raw(spark, folder).withColumn("data", packed(*THREE[:2]))
     return rounded(
-        d.decode_barometer(payloads, calibrations).select(*KEYS, "device", "temperature", "pressure")
+        d.decode_barometer(payloads, calibrations(spark, folder)).select(*KEYS, "device", "temperature", "pressure")
     )
 
 
@@ -239,18 +248,25 @@ def device_generations(spark, folder):
     return d.device_generations(services)
 
 
-MIX = ("aa01", "aa21", "aa71", "2a19", "beef", "aa81", "0201")
+MIX = ("aa01", "aa21", "aa71", "2a19", "beef", "aa81", "0201", "aa11", "aa41")
 
 
 @query(
     "decode_mixed",
-    f"""with {RAW_SQL}, mixed as (select *, case when device % 3 = 0 then 'v1' when device % 3 = 1 then 'CC2650' else 'box' end
-      as generation, [{', '.join(f"'{m}'" for m in MIX)}][cast(k % 7 + 1 as integer)] as code from raw),
+    f"""with {RAW_SQL}, {CALIBRATION_SQL}, mixed as (select *, case when device % 3 = 0 then 'v1' when device % 3 = 1 then 'CC2650' else 'box' end
+      as generation, [{', '.join(f"'{m}'" for m in MIX)}][cast(k % 9 + 1 as integer)] as code from raw),
     kinds as (select *, case when code = '0201' and generation = 'box' then 'temperature' when code = '0201' then 'unknown'
         when code = 'aa01' then 'infrared' when code = 'aa21' then 'humidity' when code = 'aa71' then 'light'
-        when code = '2a19' then 'battery' when code = 'aa81' then 'movement' else 'unknown' end as kind from mixed)
+        when code = '2a19' then 'battery' when code = 'aa81' then 'movement' when code = 'aa11' then 'accelerometer'
+        when code = 'aa41' then 'barometer' else 'unknown' end as kind, {s16('u1')} as t from mixed)
     select k, line, part, kind, case
         when generation = 'CC2650' and kind = 'humidity' then 100e0 * (u2 / 65536e0)
+        when generation = 'v1' and kind = 'accelerometer' then
+          ((u1 & 255) - case when (u1 & 255) >= 128 then 256 else 0 end) / case when device % 2 = 0 then 64e0 else 16e0 end
+        when generation = 'v1' and kind = 'barometer' then
+          round(((c3 + c4 / 131072e0 * t + c5 / 17179869184e0 * t * t) * u2
+            + (c6 * 16384e0 + c7 / 8e0 * t + c8 / 524288e0 * t * t)) / 1638400e0, 6) + 0.0
+        when generation = 'CC2650' and kind = 'barometer' then (u1 + (u2 & 255) * 65536) / 100e0
         when generation = 'v1' and kind = 'humidity' then -6e0 + 125e0 * ((u2 & 65532) / 65536e0)
         when generation = 'CC2650' and kind = 'light' then 0.01e0 * ((u1 & 4095) << (u1 >> 12))
         when generation in ('CC2650', 'box') and kind = 'battery' then cast(u1 & 255 as double)
@@ -258,18 +274,28 @@ MIX = ("aa01", "aa21", "aa71", "2a19", "beef", "aa81", "0201")
           ((u1 & 255) - case when (u1 & 255) >= 128 then 256 else 0 end) + (u1 >> 8) / 100e0
         when generation = 'box' and kind = 'humidity' then
           cast((u1 & 255) - case when (u1 & 255) >= 128 then 256 else 0 end as double) end as reading,
-      printf('%02x%02x%02x%02x', u1 & 255, u1 >> 8, u2 & 255, u2 >> 8) as raw from kinds""",
+      printf('%02x%02x%02x%02x', u1 & 255, u1 >> 8, u2 & 255, u2 >> 8) as raw from kinds left join cal using (device)""",
 )
 def decode_mixed(spark, folder):
     family = F.element_at(F.array(F.lit("v1"), F.lit("CC2650"), F.lit("box")), (F.col("device") % 3 + 1).cast("int"))
-    code = F.element_at(F.array(*[F.lit(m) for m in MIX]), (F.col("k") % 7 + 1).cast("int"))
+    code = F.element_at(F.array(*[F.lit(m) for m in MIX]), (F.col("k") % 9 + 1).cast("int"))
     made = raw(spark, folder).withColumns(
-        {"generation": family, "characteristic": code, "data": packed(*THREE[:2])}
+        {
+            "generation": family, "characteristic": code, "data": packed(*THREE[:2]),
+            "firmware": F.when(F.col("device") % 2 == 0, "1.4 (Jul 2013)").otherwise("1.5 (Oct 2013)"),
+        }
     )
-    found = d.decode_all(made)
+    made = made.join(calibrations(spark, folder), "device", "left")
+    found = d.decode_all(made, firmware="firmware", calibration="calibration")
     value = F.coalesce(
         *[F.try_element_at(F.col("readings"), F.lit(n)) for n in ("lux", "humidity", "percent")],
         F.when(F.col("kind") == "temperature", F.try_element_at(F.col("readings"), F.lit("temperature"))),
+        F.when(F.col("kind") == "accelerometer", F.try_element_at(F.col("readings"), F.lit("x"))),
+        F.when(
+            F.col("kind") == "barometer",
+            F.when(F.col("generation") == "v1", F.round(F.try_element_at(F.col("readings"), F.lit("pressure")), 6) + 0.0)
+            .otherwise(F.try_element_at(F.col("readings"), F.lit("temperature"))),
+        ),
     )
     return found.select(*KEYS, "kind", value.alias("reading"), "raw")
 
@@ -557,13 +583,14 @@ def scan_windows(spark, folder):
 @query(
     "uuid_names",
     """with names as (select p_partkey as number, arg_max(p_name, p_partkey) as name from part group by p_partkey)
-    select l_orderkey, l_linenumber as line, l_partkey, case when l_partkey % 2 = 0 then name else printf('%04x', l_partkey) end as uuid_name
-    from lineitem left join names on number = l_partkey where l_partkey < 65536""",
+    select l_orderkey, l_linenumber as line, l_partkey, case when l_partkey % 2 = 0 then name
+      when l_partkey < 65536 then printf('%04x', l_partkey) else printf('%08x', l_partkey) end as uuid_name
+    from lineitem left join names on number = l_partkey""",
 )
 def uuid_names(spark, folder):
     part = tables.table(spark, folder, "part").where("p_partkey % 2 = 0")
     catalogue = part.select(F.lit("service_UUIDs").alias("kind"), F.col("p_partkey").alias("number"), F.col("p_name").alias("name"))
-    line = tables.table(spark, folder, "lineitem").where("l_partkey < 65536")
+    line = tables.table(spark, folder, "lineitem")
     keyed = line.select(
         "l_orderkey", F.col("l_linenumber").alias("line"), "l_partkey", tx.uuid_from_int(F.col("l_partkey")).alias("uuid")
     )

@@ -56,6 +56,29 @@ def test_position_of_text_and_time_orders(spark):
     assert by_time == {"ab": 0, "b": 1, "abcdef": 2}
 
 
+def spread_orders():
+    rng = random.Random(5)
+    return {
+        "text": [f"participant_0|{i:06d}" for i in range(4000)],
+        "hashed": [rng.getrandbits(63) for _ in range(4000)],
+        "dense": list(range(4000)),
+        "fraction": [rng.random() for _ in range(3999)] + [float("nan")],
+    }
+
+
+@pytest.mark.parametrize("kind", ["text", "hashed", "dense", "fraction"])
+def test_default_slices_are_even(spark, kind):
+    orders = spread_orders()[kind]
+    df = spark.createDataFrame([(1, o) for o in orders], f"k int, o {'string' if kind == 'text' else 'double' if kind == 'fraction' else 'long'}")
+    counts = df.groupBy(ordering.default_slice(df, ["k"], ["o"]).alias("s")).count().collect()
+    slices = ordering.SLICES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert slices // 2 <= len(counts) <= slices
+    assert max(r["count"] for r in counts) < 6 * len(orders) / slices
+    ranked = sorted(orders, key=lambda o: (o != o, o if o == o else 0))
+    places = [r["pos"] for r in ordering.with_position(df, ["k"], ["o"]).orderBy("o").collect()]
+    assert places == list(range(len(ranked)))
+
+
 @pytest.mark.parametrize("ahead", [False, True])
 def test_neighbour_over_slices(spark, ahead):
     rows = hot_rows(800, seed=2)
@@ -91,8 +114,8 @@ def test_running_totals(spark, descending):
     assert {r["all_v"] for r in found} == {total}
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_thinning_is_exact_in_slices(spark, small):
+@pytest.mark.parametrize("slice_seconds", [600, 86400])
+def test_thinning_is_exact_in_slices(spark, slice_seconds):
     rng = random.Random(4)
     rows, i = [], 0
     for key in (1, 2, 3):
@@ -109,5 +132,5 @@ def test_thinning_is_exact_in_slices(spark, small):
         if key not in last or round((s - last[key]) * 1e6) > 60_000_000:
             expected.add(i)
             last[key] = s
-    kept = thin_by_gap(df, "k", seconds=60, slice_seconds=600, small=small)
+    kept = thin_by_gap(df, "k", seconds=60, slice_seconds=slice_seconds)
     assert {r["i"] for r in kept.collect()} == expected
