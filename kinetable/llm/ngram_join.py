@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinetable.llm import textbytes as tb
@@ -164,8 +165,8 @@ def prefix_keys(tokens, frequent):
     return np.concatenate(keys), max(1, 1 + int(CLASSES[band]) - inside)
 
 
-def index_rows(docs, words, frequent, only_keys):
-    """Rows (key) or (key, node, need), once for each distinct set of a task."""
+def index_rows(docs, words, frequent):
+    """Rows (key, node, need), once for each distinct set of a task."""
 
     def run(batches):
         known = set()
@@ -184,24 +185,24 @@ def index_rows(docs, words, frequent, only_keys):
                 needs.append(need)
             if not keys:
                 continue
+            lengths = [len(k) for k in keys]
             columns = [pa.array(np.concatenate(keys).view(np.int64))]
-            if not only_keys:
-                lengths = [len(k) for k in keys]
-                columns += [pa.array(np.repeat(np.array(x, dtype=kind), lengths)) for x, kind in ((nodes, np.int64), (needs, np.int32))]
-            yield pa.record_batch(columns, names=["key", "node", "need"][: len(columns)])
+            columns += [pa.array(np.repeat(np.array(x, dtype=kind), lengths)) for x, kind in ((nodes, np.int64), (needs, np.int32))]
+            yield pa.record_batch(columns, names=["key", "node", "need"])
 
-    return docs.mapInArrow(run, "key long" if only_keys else "key long, node long, need int")
+    return docs.mapInArrow(run, "key long, node long, need int")
+
+
+def least_and_most(rows, column):
+    """``rows`` with ``low`` and ``high``, the least and greatest of ``column`` in the row's key."""
+    key = Window.partitionBy("key")
+    return rows.withColumns({"low": F.min(column).over(key), "high": F.max(column).over(key)})
 
 
 def shared_members(docs, words, frequent):
-    """Index rows of keys that several nodes have, for nodes with enough such keys."""
-    alive = index_rows(docs, words, frequent, True).groupBy("key").count().where("count > 1").select("key")
-    rows = index_rows(docs, words, frequent, False)
-    members = written(rows.join(alive.hint("shuffle_hash"), "key").distinct(), "members")
-    keys = members.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
-    members = checkpointed(members.join(keys, "key", "left_semi"))
-    enough = members.groupBy("node").agg(F.count("*").alias("c"), F.max("need").alias("q")).where("c >= q").select("node")
-    return checkpointed(members.join(enough, "node", "left_semi"))
+    """Index rows (key, node, need, first) of keys that several nodes have; ``first`` is a key's least node."""
+    rows = least_and_most(index_rows(docs, words, frequent), "node").where("low < high")
+    return written(rows.select("key", "node", "need", F.col("low").alias("first")).distinct(), "members")
 
 
 def common_counts(left, right):
@@ -287,16 +288,22 @@ def sets_of_nodes(docs, found, nodes, words):
     return written(sets.join(ids, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "packed"), "sets")
 
 
-def blocks_of(members):
-    """(node, block): nodes stand with the node they share most keys with, of those that stand first in a key.
+def placed_members(members):
+    """Index rows (key, node, need, block) of the nodes with as many shared keys as a partner needs.
 
-    A block has about BLOCK_NODES nodes at most.
+    Nodes stand with the node they share most keys with, of those that stand
+    first in a key.  A block has about BLOCK_NODES nodes at most.
     """
-    firsts = members.groupBy("key").agg(F.min("node").alias("first"))
-    shared = members.join(firsts, "key").groupBy("node", "first").count()
-    anchors = shared.groupBy("node").agg(F.max(F.struct("count", "first")).alias("m")).select("node", F.col("m.first").alias("anchor"))
+    shared = members.groupBy("node", "first").agg(F.count("*").alias("c"), F.max("need").alias("q"))
+    anchors = checkpointed(
+        shared.groupBy("node")
+        .agg(F.max(F.struct("c", "first")).alias("m"), F.sum("c").alias("c"), F.max("q").alias("q"))
+        .where("c >= q")
+        .select("node", F.col("m.first").alias("anchor"))
+    )
     parts = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts"))
-    return anchors.join(parts, "anchor").select("node", F.xxhash64("anchor", F.pmod("node", "parts")).alias("block"))
+    blocks = anchors.join(parts, "anchor").select("node", F.xxhash64("anchor", F.pmod("node", "parts")).alias("block"))
+    return checkpointed(members.join(blocks, "node").select("key", "node", "need", "block"))
 
 
 def best_sides(placed):
@@ -307,8 +314,7 @@ def best_sides(placed):
     """
     nodes = checkpointed(placed.groupBy("block", "node").agg(F.count("*").alias("c")))
     hubs = nodes.groupBy("block").agg(F.max(F.struct("c", "node")).alias("m")).select(F.col("block").alias("first"), F.col("m.node").alias("node"))
-    firsts = placed.groupBy("key").agg(F.min("block").alias("first"))
-    shared = placed.join(firsts, "key").where("block <> first").groupBy("block", "first").count()
+    shared = least_and_most(placed, "block").where("block <> low").groupBy("block", F.col("low").alias("first")).count()
     best = shared.groupBy("block").agg(F.max(F.struct("count", "first")).alias("m")).select("block", F.col("m.first").alias("first"))
     rows = nodes.select("block", "node").unionByName(best.join(hubs, "first").select("block", "node"))
     several = rows.groupBy("block").count().where("count > 1").select("block")
@@ -345,14 +351,13 @@ def linked_sides(sides, sets, words):
 def ngram_links(docs, found, words=SHINGLE_WORDS, share=FREQUENT_SHARE):
     """Verified links (a, b) between nodes that connect exactly what all links connect."""
     frequent = frequent_tokens(found, found.where("node is not null").count(), share)
-    members = shared_members(docs, words, frequent)
-    placed = checkpointed(members.join(blocks_of(members), "node").select("key", "node", "need", "block"))
-    sets = sets_of_nodes(docs, found, members.select("node").distinct(), words)
+    placed = placed_members(shared_members(docs, words, frequent))
+    sets = sets_of_nodes(docs, found, placed.select("node").distinct(), words)
     links = linked_sides(best_sides(placed), sets, words)
     labels = connected_components(links)
-    placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return links.unionByName(linked_sides(open_sides(checkpointed(placed.join(mixed_keys, "key", "left_semi"))), sets, words))
+    labelled = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = checkpointed(least_and_most(labelled, "label").where("low < high").drop("low", "high"))
+    return links.unionByName(linked_sides(open_sides(apart), sets, words))
 
 
 def ngram_jaccard_join(docs, words=SHINGLE_WORDS, share=FREQUENT_SHARE):
