@@ -1,8 +1,8 @@
 """Alignment of sensors, of message batches, and gating by control events."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from kinetable.operators.ordering import time_slice, with_neighbour, with_position
+from kinetable.operators.ordering import time_slice, with_position
 from kinetable.schema import AXES, BATCH_ROWS, SENSOR_NAMES, SENSORS
 
 TOPICS = tuple(SENSOR_NAMES[s] for s in SENSORS)
@@ -110,46 +110,25 @@ def align_batches(pairs, keys=("session_id", "ordinal")):
     )
 
 
-def control_intervals(control, device="device", ts="ts", command="command", slice_seconds=86400):
-    """[start, finish) intervals in which a device records; open ends stay NULL."""
-    following = with_neighbour(
-        control, [device], [ts], ts, "until", time_slice(ts, slice_seconds), ahead=True
-    )
-    return following.where(F.col(command) == "start").select(
-        device, F.col(ts).alias("since"), "until"
-    )
-
-
-def gate_by_control(samples, control, device="device", ts="ts", bucket_seconds=86400):
-    """Keep the samples taken between a start and the next finish of their device.
+def gate_by_control(samples, control, device="device", ts="ts", bucket_seconds=86400, command="command"):
+    """Keep the samples whose device's last command, at their time or before, is a start.
 
-    A range join on time as an equi-join on (device, time bucket): intervals
-    are listed once per bucket they touch, samples go to one bucket each, so a
-    busy device is spread over its buckets.
+    Commands and samples of a device are walked together in slices of time,
+    and the last command of the slices before is carried into a slice: one
+    pass, however often a device toggles.  Of commands at the same time the
+    last by name counts.  Rows without a device or time are dropped.
     """
-    spans = control_intervals(control, device, ts, slice_seconds=bucket_seconds)
-    # Open intervals end with the device's last sample; no samples, no interval.
-    last = samples.groupBy(F.col(device).alias("_d")).agg(F.max(ts).alias("_last"))
-    spans = spans.join(last, F.col(device) == F.col("_d")).withColumn(
-        "_until", F.least(F.coalesce("until", "_last"), F.col("_last"))
-    )
-    spans = spans.where(F.col("since") <= F.col("_until"))
-    listed = spans.select(
-        F.col(device).alias("_device"),
-        "since",
-        "until",
-        F.explode(
-            F.sequence(time_slice("since", bucket_seconds), time_slice("_until", bucket_seconds))
-        ).alias("_bucket"),
-    )
-    placed = samples.withColumn("_b", time_slice(ts, bucket_seconds))
-    inside = (
-        (F.col(device) == F.col("_device"))
-        & (F.col("_b") == F.col("_bucket"))
-        & (F.col(ts) >= F.col("since"))
-        & (F.col("until").isNull() | (F.col(ts) < F.col("until")))
-    )
-    return placed.join(listed, inside).select(*samples.columns)
+    commands = control.select(device, ts, F.col(command).alias("_command"), F.lit(0).alias("_sample"))
+    both = samples.withColumn("_sample", F.lit(1)).unionByName(commands, allowMissingColumns=True)
+    both = both.withColumn("_slice", time_slice(ts, bucket_seconds))
+    within = Window.partitionBy(device, "_slice").orderBy(ts, "_sample", "_command")
+    walked = both.withColumn("_near", F.last("_command", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.when(F.col("_command").isNotNull(), F.struct(ts, "_command"))
+    ends = both.groupBy(device, "_slice").agg(F.max_by("_command", place).alias("_end"))
+    earlier = Window.partitionBy(device).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(device, "_slice", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    joined = walked.where("_sample = 1").join(carried, [device, "_slice"])
+    return joined.where(F.coalesce("_near", "_before") == "start").select(*samples.columns)
 
 
 def ready_from(status, session="session_id", sensors=SENSORS, ts="ts"):

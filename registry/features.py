@@ -12,7 +12,7 @@ from kinetable.operators.ordering import with_position
 from kinetable.plans import tables
 from registry.common import AXIS, IMU, query, rounded, sql_corr, sql_round, sql_statistic
 
-SWEEP = (2, 3, 5, 7)
+SWEEP = (2, 3, 5, 7, 10, 13, 15, 20)
 
 # ------------------------------------------------------------------ cleaning
 
@@ -536,16 +536,32 @@ SCORING = [
 ]
 
 
+#: Frames of a batch of 20 rows all start with its first row.
+SCORING_FFT = [
+    sql_round(
+        f'abs(sum(p."{c}"))'
+        if k == 0
+        else f'sqrt(pow(sum(p."{c}" * cos(2 * pi() * {k} * p.pos / (e.pos + 1))), 2) + pow(sum(p."{c}" * sin(2 * pi() * {k} * p.pos / (e.pos + 1))), 2))',
+        f"{c}_fft_{c[1].lower()}_{name}",
+    )
+    for name, k in FFT_NAMES.items()
+    for c in AXIS
+]
+
+
 @query(
     "scoring_features",
     f"""with {IMU}, placed as (select *, seq // 20 as batch, seq % 20 as pos from imu),
     slid as (select session_id, batch, pos as win_end, {", ".join(SCORING)} from placed
-      window f as (partition by session_id, batch order by pos rows between 19 preceding and current row))
-    select * from slid where win_end >= 10""",
+      window f as (partition by session_id, batch order by pos rows between 19 preceding and current row)),
+    waves as (select e.session_id, e.batch, e.pos as win_end, {", ".join(SCORING_FFT)}
+      from placed e join placed p on e.session_id = p.session_id and e.batch = p.batch and p.pos <= e.pos
+      where e.pos >= 10 group by e.session_id, e.batch, e.pos)
+    select * from slid join waves using (session_id, batch, win_end)""",
 )
 def scoring_features(spark, folder):
     rows = tables.imu(spark, folder).withColumns(
         {"batch": F.floor(F.col("seq") / 20), "pos": F.col("seq") % 20}
     )
-    full = overlap.scoring_features(rows, correlations=None, fft=())
+    full = overlap.scoring_features(rows, correlations=None)
     return rounded(full.drop("n_rows"))

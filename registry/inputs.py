@@ -11,23 +11,18 @@ from kinetable.sources import files, messages as msg, pages
 from registry.common import AXIS, IMU, LONG, query, rounded
 
 
-def written_csv(spark, folder, layout):
-    """The recordings written as headerless CSV, one folder per session."""
-    rows = tables.imu(spark, folder)
+def read_back(spark, folder, layout):
+    """The recordings written as headerless CSV and read as samples, with their session behind the label.
+
+    Spark names the files of a write itself, so a file's name says nothing of the recording here.
+    """
     path = scratch_path(spark, "samples")
+    rows = tables.imu(spark, folder)
     columns = [f"{a}{s}" for s in layout for a in "xyz"]
-    part = rows.select("seq", *columns, "label", F.col("session_id").alias("session"))
-    part.write.partitionBy("session").csv(path)
-    return path
-
-
-def read_back(spark, folder, layout):
-    path = written_csv(spark, folder, layout)
-    schema = files.sample_schema(layout)
-    rows = spark.read.schema(schema).csv(f"{path}/*").withColumn(
-        "session_id", F.regexp_extract(F.input_file_name(), "session=([0-9]+)", 1).cast("long")
-    )
-    return rows.withColumns({"label": F.col("label").cast("long")})
+    rows.select("seq", *columns, "label", "session_id").write.csv(path)
+    schema = files.sample_schema(layout).add("session", "long")
+    back = files.read_samples(spark, path, layout, schema)
+    return back.withColumn("session_id", F.col("session")).drop("session").withColumns({"label": F.col("label").cast("long")})
 
 
 for layout in files.LAYOUTS:

@@ -1,5 +1,7 @@
 """Sensor and batch alignment, gating and status."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from kinetable.operators import align, signals
@@ -92,3 +94,21 @@ def test_label_names(spark):
     out = {r["label"]: r["name"] for r in signals.with_label_name(df, signals.labels_dim(spark)).collect()}
     assert out == {1: "Working at Computer", 7: "Talking while Standing", 9: None}
     assert signals.labels_dim(spark, "recorded").count() == 3
+
+
+def test_gate_of_a_busy_device_is_brute_force(spark):
+    start = dt.datetime(2024, 1, 1)
+    times = [start + dt.timedelta(seconds=80 * i) for i in range(1000)]
+    commands = [("a", t, "start" if i % 3 else "finish") for i, t in enumerate(times)] + [("b", start, "start")]
+    samples = [(d, start + dt.timedelta(seconds=s), s) for d in "abc" for s in range(0, 200_000, 40)]
+    control = spark.createDataFrame(commands, "device string, ts timestamp_ntz, command string")
+    rows = spark.createDataFrame(samples, "device string, ts timestamp_ntz, n long")
+    found = {(r.device, r.n) for r in align.gate_by_control(rows, control).collect()}
+    by_time = {t: c for d, t, c in commands if d == "a"}
+    wanted, last = {("b", n) for d, _, n in samples if d == "b"}, None
+    for d, t, n in samples:
+        if d == "a":
+            last = by_time.get(t, last)
+            if last == "start":
+                wanted.add((d, n))
+    assert found == wanted
