@@ -240,31 +240,40 @@ def unpacked_sets(packed, words):
 
 
 def links_of_blocks(key, rows, words):
-    """Links that connect exactly what all links between the two blocks of a pair connect."""
+    """Links between the two blocks of a pair, counted by node.
+
+    Gives rows (node, other, n): with ``other`` null the documents that
+    ``node`` is linked with through this pair of blocks, else a link of those
+    that connect exactly what all links connect.
+    """
     x, y = (k.as_py() for k in key)
-    blocks, nodes = rows.column("block").to_numpy(), rows.column("node").to_numpy()
+    blocks, nodes, copies = (rows.column(c).to_numpy() for c in ("block", "node", "copies"))
     tokens = unpacked_sets(rows.column("packed"), words)
     left, right = np.flatnonzero(blocks == x), np.flatnonzero(blocks == y)
-    found = []
+    found, counted = [], {}
     if len(left) and len(right):
         counts = common_counts([tokens[i] for i in left], [tokens[i] for i in right])
         sizes = np.array([len(t) for t in tokens])
         union = sizes[left][:, None] + sizes[right][None, :] - counts
-        for i, j in np.argwhere(100 * counts >= SIMILARITY * union):
-            if nodes[left[i]] != nodes[right[j]]:
-                found.append((int(nodes[left[i]]), int(nodes[right[j]])))
+        near = (100 * counts >= SIMILARITY * union) & (nodes[left][:, None] != nodes[right][None, :])
+        counted = dict(zip(nodes[left].tolist(), (near @ copies[right]).tolist()))
+        if x != y:
+            counted |= dict(zip(nodes[right].tolist(), (copies[left] @ near).tolist()))
+        found = [(int(nodes[left[i]]), int(nodes[right[j]])) for i, j in np.argwhere(near)]
     kept = forest(found)
-    return pa.table({"a": pa.array([k[0] for k in kept], pa.int64()), "b": pa.array([k[1] for k in kept], pa.int64())})
+    some = [(node, None, n) for node, n in counted.items() if n]
+    columns = list(zip(*some, *((a, b, 0) for a, b in kept))) or [[], [], []]
+    return pa.table({name: pa.array(values, pa.int64()) for name, values in zip(("node", "other", "n"), columns)})
 
 
 def sets_of_nodes(docs, found, nodes, words):
-    """(node, packed) of the given nodes: the compressed text of one document each.
+    """(node, copies, packed) of the given nodes: the number of their documents and the compressed text of one.
 
     The ids are sent to all tasks up to BROADCAST_IDS; more meet their texts
     in a shuffled join.
     """
     ids = checkpointed(
-        found.where("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        found.where("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("copies"))
     )
     wanted = ids.select("doc_id")
     if ids.count() <= BROADCAST_IDS:
@@ -285,7 +294,7 @@ def sets_of_nodes(docs, found, nodes, words):
             )
 
     sets = texts.mapInArrow(run, "doc_id long, node long, packed binary")
-    return written(sets.join(ids, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "packed"), "sets")
+    return written(sets.join(ids, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "copies", "packed"), "sets")
 
 
 def placed_members(members):
@@ -306,31 +315,16 @@ def placed_members(members):
     return checkpointed(members.join(blocks, "node").select("key", "node", "need", "block"))
 
 
-def best_sides(placed):
-    """(x, y, block, node) with x = y: the nodes of each block, and the hub of another one.
-
-    The hub is the node with most keys of the block that this one shares most
-    keys with, of the blocks that stand first in a key.
-    """
-    nodes = checkpointed(placed.groupBy("block", "node").agg(F.count("*").alias("c")))
-    hubs = nodes.groupBy("block").agg(F.max(F.struct("c", "node")).alias("m")).select(F.col("block").alias("first"), F.col("m.node").alias("node"))
-    shared = least_and_most(placed, "block").where("block <> low").groupBy("block", F.col("low").alias("first")).count()
-    best = shared.groupBy("block").agg(F.max(F.struct("count", "first")).alias("m")).select("block", F.col("m.first").alias("first"))
-    rows = nodes.select("block", "node").unionByName(best.join(hubs, "first").select("block", "node"))
-    several = rows.groupBy("block").count().where("count > 1").select("block")
-    return rows.join(several, "block", "left_semi").select(F.col("block").alias("x"), F.col("block").alias("y"), "block", "node")
-
-
-def open_sides(placed):
-    """(x, y, block, node): for each two blocks x <= y, the nodes of either that may have a partner of another label in the other.
+def sides_of_blocks(placed):
+    """(x, y, block, node): for each two blocks x <= y, a block and itself included, the nodes of either that may have a partner in the other.
 
     A node needs as many keys in common with the other block as a partner has
     with it at least; pairs without such nodes on both sides go.
     """
-    met = placed.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")).withColumnRenamed("block", "other")
+    met = placed.groupBy("key", "block").agg(F.min("node").alias("low"), F.max("node").alias("high")).withColumnRenamed("block", "other")
     shared = checkpointed(
         placed.join(met, "key")
-        .where("label <> low or label <> high")
+        .where("node <> low or node <> high")
         .groupBy("block", "other", "node")
         .agg(F.count("*").alias("c"), F.max("need").alias("q"))
         .where("c >= q")
@@ -340,50 +334,50 @@ def open_sides(placed):
     return shared.join(lively.where("low = x and high = y and c > 1").select("x", "y"), ["x", "y"], "left_semi")
 
 
-def linked_sides(sides, sets, words):
+def ngram_links(docs, found, words=SHINGLE_WORDS, share=FREQUENT_SHARE):
+    """Rows (node, other, n) of all pairs of blocks, as links_of_blocks gives them."""
+
     def links(key, rows):
         return links_of_blocks(key, rows, words)
 
-    compared = sides.join(sets, "node").select("x", "y", "block", "node", "packed")
-    return checkpointed(compared.groupBy("x", "y").applyInArrow(links, "a long, b long"))
-
-
-def ngram_links(docs, found, words=SHINGLE_WORDS, share=FREQUENT_SHARE):
-    """Verified links (a, b) between nodes that connect exactly what all links connect."""
     frequent = frequent_tokens(found, found.where("node is not null").count(), share)
     placed = placed_members(shared_members(docs, words, frequent))
     sets = sets_of_nodes(docs, found, placed.select("node").distinct(), words)
-    links = linked_sides(best_sides(placed), sets, words)
-    labels = connected_components(links)
-    labelled = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = checkpointed(least_and_most(labelled, "label").where("low < high").drop("low", "high"))
-    return links.unionByName(linked_sides(open_sides(apart), sets, words))
+    compared = sides_of_blocks(placed).join(sets, "node").select("x", "y", "block", "node", "copies", "packed")
+    return checkpointed(compared.groupBy("x", "y").applyInArrow(links, "node long, other long, n long"))
 
 
 def ngram_jaccard_join(docs, words=SHINGLE_WORDS, share=FREQUENT_SHARE):
     """Sets, links and components of documents (doc_id, text) under n-gram Jaccard similarity.
 
-    Returns (doc_id, n_shingles, component_id): the size of the document's set
-    of distinct n-word shingles (blank-parted words, A-Z lower-cased) and the
-    smallest doc_id reachable by links of at least SIMILARITY hundredths.
+    Returns (doc_id, n_shingles, n_links, component_id): the size of the
+    document's set of distinct n-word shingles (blank-parted words, A-Z
+    lower-cased), the number of other documents linked with it directly, by at
+    least SIMILARITY hundredths, and the smallest doc_id reachable by links.
 
     A null or empty text and one of blanks only have no shingles and link with
     nothing; fewer than ``words`` words are one shingle.  Repeated rows give
-    repeated rows.  A null doc_id names no document: its row has its set size,
-    its component is that of its equals, and it is nobody's representative.
+    repeated rows and count as one document.  A null doc_id names no document:
+    its row has its set size, its links and component are those of its equals,
+    and it is nobody's link or representative.
     Other columns are ignored.  An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(sized_nodes(docs, words, share), "nodes")
     rows = found.where("token is null").select("doc_id", "n", "node")
     links = ngram_links(docs, found, words, share)
-    labels = connected_components(links)
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = connected_components(links.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    counts = links.where("other is null").groupBy("node").agg(F.sum("n").alias("n_links"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("copies"))
+    labelled = nodes.join(labels, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = labelled.join(firsts, "label").select("node", "component_id")
+    classes = labelled.join(firsts, "label").select("node", "component_id", (F.col("copies") + F.coalesce("n_links", F.lit(0))).alias("linked"))
+    itself = F.col("doc_id").isNotNull().cast("long")
     return rows.join(classes, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce(F.col("linked") - itself, F.lit(0)).alias("n_links"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
 

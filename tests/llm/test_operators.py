@@ -120,6 +120,31 @@ def test_ngram_join_with_many_frequent_tokens(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found.collect()} == want
 
 
+def test_ngram_join_counts_every_link(spark, docs, rows, monkeypatch):
+    rng = random.Random(11)
+    base = words(rng, 150, 100_000).split()
+    near = []
+    for i in range(50):
+        parts = list(base)
+        for _ in range(rng.randrange(6)):
+            parts[rng.randrange(len(parts))] = f"e{rng.randrange(10**6)}"
+        near.append((5000 + i, " ".join(parts)))
+    near += [(6000, near[1][1]), near[2]]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*near, (None, near[1][1])], "doc_id long, text string").repartition(2))
+    sets = {i: shingles(t) for i, t in [*rows, *near] if i is not None}
+    want = dict.fromkeys(sets, 0)
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            want[a] += 1
+            want[b] += 1
+    assert max(want.values()) > 20 and len(set(want.values())) > 5
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 4)
+    for share in (ngram_join.FREQUENT_SHARE, 1 / 10):
+        found = ngram_join.ngram_jaccard_join(table, share=share).collect()
+        assert {r.doc_id: r.n_links for r in found if r.doc_id is not None} == want
+        assert sorted(r.n_links for r in found if r.doc_id is None) == [0, want[6000] + 1]
+
+
 def test_components_of_a_chain_and_of_nothing(spark):
     order = list(range(40))
     random.Random(1).shuffle(order)
