@@ -3,7 +3,7 @@
 Fixed masks pick some of the word positions of a window and ignore the rest,
 so a hash over the picked words survives substitutions at the others.  The
 seeds of the benchmark meet those of the documents; around each hit the two
-texts are laid side by side and the best stretch with few substitutions is
+texts are laid side by side and every stretch with few substitutions is
 verified word by word.
 """
 
@@ -94,18 +94,35 @@ class Benchmark:
             own, other = words[firsts[text] : firsts[text + 1]], self.words[self.firsts[item] : self.firsts[item + 1]]
             first, last = max(0, -shift), min(len(other), len(own) - shift)
             same = own[first + shift : last + shift] == other[first:last]
-            a, b = best_stretch(same)
-            if b - a >= min(LEAST_WORDS, len(other)):
-                yield int(text), int(item), int(first + shift + a), int(first + a), int(b - a), int((~same[a:b]).sum())
+            least = min(LEAST_WORDS, len(other))
+            if (1 + WORDS_A_SUBSTITUTION) * np.count_nonzero(same) <= WORDS_A_SUBSTITUTION * least:
+                continue
+            for a, b in stretches(same):
+                if b - a >= least:
+                    yield int(text), int(item), int(first + shift + a), int(first + a), int(b - a), int((~same[a:b]).sum())
 
 
-def best_stretch(same):
-    """(start, end) of the stretch with the most matches over weighted substitutions, the first of equals."""
+def stretches(same):
+    """(start, end) of all maximal stretches by matches over weighted substitutions, from left to right.
+
+    These are the best stretch, the best ones on its left and right, and so
+    on, found in one pass over the runs of matches.  Of equal ones the first
+    and shortest counts.
+    """
     sums = np.concatenate(([0], np.cumsum(np.where(same, 1, -WORDS_A_SUBSTITUTION))))
-    least = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - least))
-    start = int(np.flatnonzero(sums[: end + 1] == least[end])[-1])
-    return start, end
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8))).tolist()
+    found = []  # (start, end, place of the last earlier one that starts at a lower sum)
+    for start, end in zip(edges[::2], edges[1::2]):
+        while True:
+            lower = len(found) - 1
+            while lower >= 0 and sums[found[lower][0]] >= sums[start]:
+                lower = found[lower][2]
+            if lower < 0 or sums[found[lower][1]] >= sums[end]:
+                break
+            start = found[lower][0]
+            del found[lower:]
+        found.append((start, end, lower))
+    return [f[:2] for f in found]
 
 
 def blocks(benchmark):
@@ -123,8 +140,8 @@ def find_leaks(docs, benchmark):
 
     One row for each stretch: doc_id, item_id, doc_word and item_word (where
     it starts, words from 0), n_words and n_substituted.  A stretch has at
-    least LEAST_WORDS words, or the whole of a shorter item, and is the best on
-    its alignment.  Null and empty texts overlap with nothing.  Repeated rows
+    least LEAST_WORDS words, or the whole of a shorter item; an alignment of
+    the two texts can have several.  Null and empty texts overlap with nothing.  Repeated rows
     and items give rows of their own; a null doc_id stays null, items without
     an id are left out.  Other columns are ignored.
     """

@@ -269,6 +269,31 @@ def test_leaks_in_blocks(spark, docs, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(9)]
 
 
+def test_all_leaks_of_an_alignment(spark):
+    rng = random.Random(12)
+    item = words(rng, 120, 100_000).split()
+    broken = [f"x{i}" if 50 <= i < 70 else w for i, w in enumerate(item)]
+    short_first = [f"y{i}" if 12 <= i < 17 or i == 24 else w for i, w in enumerate(item[:31])]
+    table = spark.createDataFrame([(1, " ".join(broken)), (2, " ".join(short_first)), (3, "nothing here")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = sorted(tuple(r) for r in decontamination.find_leaks(table, benchmark).collect())
+    assert found == [(1, 7, 0, 0, 50, 0), (1, 7, 70, 70, 50, 0), (2, 7, 17, 17, 14, 1)]
+    assert [r.doc_id for r in decontamination.without_leaks(table, benchmark).collect()] == [3]
+
+
+def test_stretches_are_the_best_ones_left_and_right():
+    def best(same, low, high):
+        spans = [(sum(1 if x else -decontamination.WORDS_A_SUBSTITUTION for x in same[a:b]), -b, a) for a in range(low, high) for b in range(a + 1, high + 1)]
+        score, end, start = max(spans, default=(0, 0, 0))
+        return best(same, low, start) + [(start, -end)] + best(same, -end, high) if score > 0 else []
+
+    rng = np.random.default_rng(3)
+    for share in (0.5, 0.8, 0.9):
+        for _ in range(60):
+            same = rng.random(25) < share
+            assert decontamination.stretches(same) == best(same.tolist(), 0, 25)
+
+
 def test_quality(spark, nothing):
     rng = random.Random(2)
     good = [(i, words(rng, 60) + ".", "a", f"h{i % 7}") for i in range(200)]
