@@ -382,6 +382,34 @@ def test_toxicity(spark, nothing):
     assert toxicity.score_toxicity(nothing, toxicity.train(nothing, labels.limit(0))).count() == 0
 
 
+def test_toxicity_of_rare_insults(spark):
+    rng = random.Random(13)
+
+    def made(size):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+
+    insults, ordinary = [made(rng.randrange(9, 24)) for _ in range(150)], [made(rng.randrange(3, 10)) for _ in range(600)]
+    rows = []
+    for i in range(9000):
+        parts = [rng.choice(ordinary) for _ in range(25)]
+        for _ in range(2 if i % 3 == 0 else 0):
+            parts.insert(rng.randrange(len(parts)), rng.choice(insults))
+        rows.append((i, " ".join(parts), int(i % 3 == 0)))
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 5], "doc_id long, toxic int")
+    model = toxicity.train(table, labels)
+    assert sum(len(w) for w in insults) > 2 * toxicity.TOXIC_BYTES and len(set(insults) & set(model[1])) > 140
+    found = {r.doc_id: r.predicted for r in toxicity.score_toxicity(table, model).collect()}
+    held = [(found[i], y) for i, _, y in rows if i % 5 == 0]
+    assert np.mean([p for p, y in held if y]) > 0.9 and np.mean([p for p, y in held if not y]) < 0.05
+
+
+def test_long_texts_are_several_samples():
+    parts = [f"word{i}" for i in range(3000)] + ["x" * 9000]
+    found = list(toxicity.chunks(parts))
+    assert b" ".join(found).decode().split() == parts and max(map(len, found[:-1])) <= toxicity.SAMPLE_BYTES
+
+
 def test_empty_tables(nothing):
     model = piece_tools.default_model()
     assert ngram_join.ngram_jaccard_join(nothing).count() == 0
