@@ -27,14 +27,15 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df, name):
+def written(df, name, by=()):
     """Write ``df`` to the cluster's shared folder and read it back.
 
     Cuts the lineage with a copy that survives lost executors; the files go
-    when the application's scratch folder is cleaned.
+    when the application's scratch folder is cleaned.  ``by`` names columns
+    that become folders, so that a later filter on them reads only its own.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*([by] if isinstance(by, str) else by)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

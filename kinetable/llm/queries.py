@@ -4,6 +4,7 @@ from kinetable.llm import (  # noqa: F401
     decontamination,
     language_id,
     license_scan,
+    line_dedup,
     multi_index,
     ngram_join,
     piece_codec,
