@@ -8,8 +8,10 @@ from kinetable.llm import (  # noqa: F401
     multi_index,
     ngram_join,
     piece_codec,
+    prefix_trie,
     quality,
     secret_scan,
+    token_alignment,
     token_counts,
     toxicity,
 )
