@@ -8,8 +8,9 @@ import sentencepiece
 BLANK = "▁"
 #: A run of blanks and the word after it.
 SEGMENT = re.compile(" +[^ ]*")
-#: Words whose result a task keeps; then it starts anew.
-KEPT_WORDS = 60_000
+#: Bytes of words and their results that a task keeps; then it starts anew.  Longer words are not kept.
+KEPT_BYTES = 48_000_000
+KEPT_LENGTH = 256
 
 
 def default_model():
@@ -44,6 +45,33 @@ class Pieces:
             raise ValueError("the model has no byte pieces")
 
 
+class Kept(dict):
+    """Results by word, bounded by the bytes that they take; starting anew changes no result.
+
+    ``a_character`` are the bytes that a character's result takes.  ``missing`` makes room
+    for the words that are not there; those too long to keep are its second answer.
+    """
+
+    def __init__(self, a_character):
+        super().__init__()
+        self.a_character, self.size = a_character, 0
+
+    def missing(self, words):
+        new = {w for w in set(words) if w not in self}
+        long = {w for w in new if len(w) > KEPT_LENGTH}
+        size = self.cost(new - long)
+        if self.size + size > KEPT_BYTES:
+            self.clear()
+            new = set(words)
+            size = self.cost(new - long)
+            self.size = 0
+        self.size += size
+        return new - long, long
+
+    def cost(self, words):
+        return 250 * len(words) + (4 + self.a_character) * sum(map(len, words))
+
+
 @lru_cache(maxsize=2)
 def pieces(model):
     return Pieces(model)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kinetable.llm.base import query, table
-from kinetable.llm.pieces import BLANK, KEPT_WORDS, default_model, pieces, segments
+from kinetable.llm.pieces import BLANK, Kept, default_model, pieces, segments
 
 #: Tokens a document may have before it counts as over the limit.
 LIMIT = 4096
@@ -36,7 +36,7 @@ class PrefixCounter:
 
     def __init__(self, model):
         self.model = pieces(model)
-        self.totals, self.tables, self.apart = {}, {}, {}
+        self.totals, self.tables, self.apart = {}, Kept(4), {}
         self.breaker = next(c for c in "\n\x01\x02" if c not in self.model.alphabet)
         self.lead = len(self.model.processor.encode(self.breaker))
         self.none = self.model.processor.get_piece_size()
@@ -53,17 +53,23 @@ class PrefixCounter:
         return p.processor.encode(self.breaker + text)[self.lead :] == own
 
     def know(self, found):
-        """Make sure that the segments are kept."""
-        missing = [s for s in set(found) if s not in self.totals]
-        if missing and len(self.totals) + len(missing) > KEPT_WORDS:
+        """Tables of those segments that are too long to keep; all others are kept from now on."""
+        new, long = self.tables.missing(found)
+        if not self.tables:
             self.totals.clear()
-            self.tables.clear()
-            missing = set(found)
         if len(self.apart) > KEPT_PAIRS:
             self.apart.clear()
-        for segment in missing:
+        for segment in new:
             counts = self.tables[segment] = self.programmed(segment)
             self.totals[segment] = counts[-1]
+        return {segment: self.programmed(segment) for segment in long}
+
+    def total(self, found):
+        """Tokens of all segments together."""
+        own = self.know(found)
+        if own:
+            return sum(own[s][-1] if s in own else self.totals[s] for s in found)
+        return sum(map(self.totals.__getitem__, found))
 
     def programmed(self, segment):
         """Token counts of the segment's prefixes of 1, 2, ... characters."""
@@ -97,16 +103,20 @@ def counter(model):
     return PrefixCounter(model)
 
 
+def plain_segments(text):
+    return segments((text or "").replace(BLANK, " "))  # to the model both are blanks
+
+
 class PrefixTable:
     """The stored counts of one text: running sums at its segments and the segments' own counts."""
 
     def __init__(self, text, model):
         own = counter(model)
-        found = segments((text or "").replace(BLANK, " "))  # to the model both are blanks
-        own.know(found)
-        self.parts = list(map(own.tables.__getitem__, found))
+        found = plain_segments(text)
+        long = own.know(found)
+        self.parts = [long[s] if s in long else own.tables[s] for s in found]
         self.lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        self.tokens = np.cumsum(np.fromiter(map(own.totals.__getitem__, found), dtype=np.int64, count=len(found)))
+        self.tokens = np.cumsum(np.fromiter((p[-1] for p in self.parts), dtype=np.int64, count=len(found)))
 
     def total(self):
         return int(self.tokens[-1]) if len(self.tokens) else 0
@@ -161,11 +171,10 @@ def token_counts(docs, model, limit=LIMIT):
             kinds = ([], [], [])
             for text in batch.column(1):
                 text = text.as_py() or ""
-                stored = PrefixTable(text, model)
-                total = stored.total()
+                total = counter(model).total(plain_segments(text))
                 kinds[0].append(len(text.encode()))
                 kinds[1].append(total)
-                kinds[2].append(len(text) if total <= limit else stored.cut(limit))
+                kinds[2].append(len(text) if total <= limit else PrefixTable(text, model).cut(limit))
             n_bytes, n_tokens, cut = (pa.array(k, pa.int64()) for k in kinds)
             over = pa.array([n > limit for n in kinds[1]], pa.bool_())
             yield pa.record_batch([batch.column(0), n_bytes, n_tokens, over, cut], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars"])

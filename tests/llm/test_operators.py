@@ -421,3 +421,24 @@ def test_empty_tables(nothing):
     assert decontamination.find_leaks(nothing, empty).count() == 0
     vectors = nothing.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), "label")
     assert multi_index.near_duplicates(vectors).count() == 0
+
+
+def test_round_trip_of_literal_blanks_and_stand_ins():
+    codec = piece_codec.codec(piece_tools.default_model())
+    rng = random.Random(8)
+    alphabet = ["▁", "", "", " ", "a", "the", "é", "日"]
+    for _ in range(3000):
+        text = "".join(rng.choices(alphabet, k=rng.randrange(1, 12)))
+        assert codec.decode(codec.encode(text)) == text
+
+
+def test_kept_words_are_bounded_by_bytes(monkeypatch):
+    model = piece_tools.default_model()
+    plain = [f"word{i} unspaced{'x' * (i % 400)} again" for i in range(600)]
+    counter, codec = token_counts.PrefixCounter(model), piece_codec.Codec(model)
+    want = [(counter.total(token_counts.plain_segments(t)), codec.encode(t)) for t in plain]
+    monkeypatch.setattr(piece_tools, "KEPT_BYTES", 20_000)
+    counter, codec = token_counts.PrefixCounter(model), piece_codec.Codec(model)
+    for text, (total, ids) in zip(plain, want):
+        assert (counter.total(token_counts.plain_segments(text)), codec.encode(text)) == (total, ids)
+        assert all(k.size <= 40_000 and max(map(len, k), default=0) <= piece_tools.KEPT_LENGTH for k in (counter.tables, codec.kept))
