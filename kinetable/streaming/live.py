@@ -33,14 +33,19 @@ def as_clock(instant):
 # ------------------------------------------------------------------ running
 
 
-def read_table_stream(spark, folder, schema, glob="*.parquet", files_per_trigger=None):
+#: What a trigger takes at most, so that a backlog is worked off in steps of bounded size.
+FILES_A_TRIGGER = 256
+OFFSETS_A_TRIGGER = 5_000_000
+
+
+def read_table_stream(spark, folder, schema, glob="*.parquet", files_per_trigger=FILES_A_TRIGGER):
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)
 
 
-def read_kafka(spark, servers, topics, max_offsets=None):
+def read_kafka(spark, servers, topics, max_offsets=OFFSETS_A_TRIGGER):
     """Messages of Kafka topics as (topic, offset, ts, payload)."""
     reader = (
         spark.readStream.format("kafka")
@@ -200,38 +205,6 @@ def write_scores(pairs, predict, path, keys=("session_id", "ordinal"), **options
 # ------------------------------------------------------------- device state
 
 
-def gate_stream(samples, control, device="device", ts="ts", command="command"):
-    """Keep the samples of devices that are started, in order of time.
-
-    Samples and control events of one device are merged per trigger; the state
-    is one flag.  Events that arrive in a later trigger than samples taken after
-    them do not reach back.
-    """
-    fields = [f for f in samples.schema.fields]
-    columns = [f.name for f in fields]
-    empty = {f.name: F.lit(None).cast(f.dataType) for f in fields}
-    events = control.select(
-        *[F.col(c) if c in (device, ts) else empty[c].alias(c) for c in columns], F.col(command).alias("_cmd")
-    )
-    merged = samples.withColumn("_cmd", F.lit(None).cast("string")).unionByName(events)
-
-    def gate(key, batches, state):
-        running = state.get[0] if state.exists else False
-        rows = pd.concat(list(batches))
-        # At equal times the command comes first.
-        rows = rows.assign(_late=rows["_cmd"].isna()).sort_values([ts, "_late"], kind="stable")
-        sample = rows["_late"].to_numpy()
-        # Place of the last command at or before each row, -1 if there is none.
-        last = np.maximum.accumulate(np.where(sample, -1, np.arange(len(rows))))
-        on = np.where(last < 0, running, (rows["_cmd"] == "start").to_numpy()[last])
-        state.update((bool(on[-1]),))
-        yield rows[on & sample][columns]
-
-    return merged.groupBy(device).applyInPandasWithState(
-        gate, T.StructType(fields), "running boolean", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def latest_status_stream(status, sensor="sensor", ts="ts"):
     """Newest status per sensor, for update mode."""
     return status.groupBy(sensor).agg(F.max_by("status", ts).alias("status"), F.max(ts).alias("ts"))
@@ -242,36 +215,3 @@ def tumble_stream(samples, size, delay="10 seconds", **options):
     marked = samples.withColumn("ts", as_instant(F.col("ts"))).withWatermark("ts", delay)
     closed = tumble_features(marked, size, keep_incomplete=True, **options)
     return closed.withColumn("win_start", as_clock(F.col("win_start")))
-
-
-def advert_status_stream(fields, addr="addr", seq="seq"):
-    """Every advert as new, update or old, from the last field values per device.
-
-    ``fields`` has one row per advert: device, order and ``list``, its parsed
-    fields.  The state of a device is its at most 256 field values.
-    """
-    types = dict(fields.dtypes)
-    schema = f"{seq} {types[seq]}, {addr} {types[addr]}, status string"
-
-    def classify(key, batches, state):
-        if state.exists:
-            kinds, values = state.get
-            known, first = dict(zip(kinds, values)), False
-        else:
-            known, first = {}, True
-        rows = pd.concat(list(batches)).sort_values(seq)
-        statuses = []
-        for items in rows["list"]:
-            news = False
-            for item in items:
-                kind, value = int(item["type"]), bytes(item["value"])
-                news |= known.get(kind) != value
-                known[kind] = value
-            statuses.append("new" if first else "update" if news else "old")
-            first = False
-        state.update((list(known.keys()), list(known.values())))
-        yield pd.DataFrame({seq: rows[seq].to_numpy(), addr: rows[addr].to_numpy(), "status": statuses})
-
-    return fields.groupBy(addr).applyInPandasWithState(
-        classify, schema, "kinds array<int>, vals array<binary>", "append", GroupStateTimeout.NoTimeout
-    )

@@ -1,11 +1,13 @@
 """Streams over several micro-batches give what one batch gives."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from kinetable.operators import adverts, align, tumble
 from kinetable.plans import tables
-from kinetable.streaming import live
+from kinetable.streaming import live, stateful
 
 
 def as_files(df, order, parts, path):
@@ -32,15 +34,50 @@ def test_counted_ordinals_continue_over_triggers(spark, scratch):
     assert {(r["topic"], r["offset"]): r["ordinal"] for r in out} == {(t, o): o // (3 if t == "Left" else 2) for _, t, o in rows}
 
 
-def test_gate_keeps_its_flag_over_triggers(spark, scratch):
-    events = [("a", 1, None), ("a", 2, "start"), ("a", 3, None), ("a", 9, None), ("a", 10, "finish"), ("a", 11, None), ("b", 4, None),
-              ("a", 20, "start"), ("a", 20, None), ("b", 21, "start"), ("b", 22, None)]
-    df = spark.createDataFrame(events, "device string, s long, command string").withColumn("ts", at(F.col("s")))
-    stream = as_files(df, "s", 4, f"{scratch}/in")
-    samples = stream.where("command is null").drop("command")
+GATED = [("a", 1, None), ("a", 2, "start"), ("a", 3, None), ("a", 9, None), ("a", 10, "finish"), ("a", 11, None), ("b", 4, None),
+         ("a", 20, "start"), ("a", 20, None), ("b", 21, "start"), ("b", 22, None), ("a", 25, None), (None, 12, "start"), (None, 13, None),
+         ("z", 90, None)]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_gate_does_not_depend_on_triggers(spark, scratch, parts):
+    """Commands come eight seconds late, so with five triggers they come in later files than their samples."""
+    stateful.with_state_store(spark)
+    rows = [(d, s, c, s + (8 if c else 0), f"{d}{s}", 2**60 + s) for d, s, c in GATED]
+    df = spark.createDataFrame(rows, "device string, s long, command string, arrival long, tag string, big long").withColumn("ts", at(F.col("s")))
+    stream = as_files(df, "arrival", parts, f"{scratch}/in")
+    samples = stream.where("command is null").drop("command", "arrival")
     control = stream.where("command is not null").select("device", "ts", "command")
-    out = live.run_to_table(live.gate_stream(samples, control), f"{scratch}/out")
-    assert sorted((r["device"], r["s"]) for r in out.collect()) == [("a", 3), ("a", 9), ("a", 20), ("b", 22)]
+    out = live.run_to_table(stateful.gate_by_event_time(samples, control, delay="10 seconds"), f"{scratch}/out").collect()
+    found = sorted(((r["device"], r["s"], r["tag"], r["big"]) for r in out), key=repr)
+    kept = [("a", 3), ("a", 9), ("a", 20), ("a", 25), ("b", 22), (None, 13)]
+    assert found == sorted(((d, s, f"{d}{s}", 2**60 + s) for d, s in kept), key=repr)
+    assert all((r["ts"] - at_python(r["s"])).total_seconds() == 0 for r in out)
+
+
+def at_python(seconds):
+    return datetime.datetime.fromisoformat(BASE) + datetime.timedelta(seconds=seconds)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_queues_pair_first_in_first_out(spark, scratch, parts):
+    """Queues of different length, gaps in the offsets, two sessions, a topic that is late as a whole."""
+    stateful.with_state_store(spark)
+    rows = []
+    for session, lengths in (("a", (5, 9, 7)), ("b", (3, 2, 4))):
+        for topic, n in zip(align.TOPICS, lengths):
+            for i in range(n):
+                late = 100 if (session, topic) == ("a", "Chest") else 0
+                rows.append((session, topic, 3 * i + len(topic), 10 * i + late, f'[{{"index":1,"x":{i}.5,"y":0,"z":1,"sensor":"{topic}"}}]'))
+    rows.append(("a", "other", 0, 5, "ignored"))
+    df = spark.createDataFrame(rows, "session_id string, topic string, offset long, s long, payload string").withColumn("ts", at(F.col("s")))
+    pairs = live.run_to_table(stateful.pair_by_arrival(as_files(df, "s", parts, f"{scratch}/in")), f"{scratch}/out")
+    found = sorted((r["session_id"], r["ordinal"], *[r[f"{t}_offset"] for t in align.TOPICS], r["Chest"][0]["x"]) for r in pairs.collect())
+    assert found == [(s, i, *[3 * i + len(t) for t in align.TOPICS], i + 0.5) for s, n in (("a", 5), ("b", 2)) for i in range(n)]
+    wide = align.align_batches(pairs).collect()
+    assert sorted((r["session_id"], r["ordinal"], r["xL"], r["xR"], r["xC"]) for r in wide) == [
+        (s, i, i + 0.5, i + 0.5, i + 0.5) for s, n in (("a", 5), ("b", 2)) for i in range(n)
+    ]
 
 
 def test_pairs_meet_in_later_triggers(spark, scratch):
@@ -78,16 +115,31 @@ def test_closed_windows_equal_the_batch(spark, folder, scratch):
 
 
 def test_advert_state_over_triggers(spark, scratch):
+    stateful.with_state_store(spark)
     data = [("a", b"\x02\x01\x05"), ("b", b""), ("a", b"\x02\x01\x05"), ("a", b"\x02\x01\x06"), ("b", b"\x02\x09\x41"), ("a", b"\x02\x0a\x00"), ("a", b"\x02\x01\x06")]
     df = spark.createDataFrame([(i, a, bytearray(x)) for i, (a, x) in enumerate(data)], "seq long, addr string, data binary")
     parsed = df.select("seq", "addr", adverts.parse_fields("data").alias("list"))
-    out = live.run_to_table(live.advert_status_stream(as_files(parsed, "seq", 4, f"{scratch}/in")), f"{scratch}/out")
+    out = live.run_to_table(stateful.advert_status_stream(as_files(parsed, "seq", 4, f"{scratch}/in")), f"{scratch}/out")
     batch = adverts.advert_status(df, adverts.explode_fields(df))
     found = {r["seq"]: r["status"] for r in out.collect()}
     assert found == {r["seq"]: r["status"] for r in batch.collect()}
     assert [found[i] for i in range(7)] == ["new", "new", "old", "update", "update", "update", "old"]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_advert_state_expires(spark, scratch, parts):
+    """With 10 seconds to live: a field not seen for so long is news again, a device not seen is new again."""
+    stateful.with_state_store(spark)
+    one, two = b"\x02\x01\x05", b"\x02\x09\x41"
+    data = [(0, "a", one), (3, "a", two), (8, "a", two), (10, "a", one), (19, "a", two), (21, "a", one), (40, "a", one), (41, "b", one), (50, "a", one), (60, "a", None)]
+    want = ["new", "update", "old", "old", "update", "update", "new", "new", "old", "old"]
+    df = spark.createDataFrame([(i, s, a, x and bytearray(x)) for i, (s, a, x) in enumerate(data)], "seq long, s long, addr string, data binary").withColumn("ts", at(F.col("s")))
+    parsed = df.select("seq", "addr", "ts", adverts.parse_fields("data").alias("list"))
+    stream = stateful.advert_status_stream(as_files(parsed, "seq", parts, f"{scratch}/in"), ts="ts", ttl_seconds=10)
+    out = live.run_to_table(stream, f"{scratch}/out")
+    assert [r["status"] for r in out.orderBy("seq").collect()] == want
+
+
 def test_scores_of_repeated_batches_replace_themselves(spark, scratch):
     rows = [(i + 1, float(i), 0.0, 1.0, t) for t in align.TOPICS for i in range(20)]
     sides = [[r for r in rows if r[4] == t] for t in align.TOPICS]
