@@ -7,6 +7,7 @@ what is available and stop, which is also how a scheduled job would run them.
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -189,6 +190,47 @@ def score_batches(pairs, predict, keys=("session_id", "ordinal"), **options):
     return batch_scores(predict(batch_features(pairs, keys, **options)), keys)
 
 
+def keyed_features(pairs, columns, keys=("session_id", "ordinal"), **options):
+    """The scoring frames of message pairs with a ``key`` each and ``columns`` as a vector."""
+    frames = batch_features(pairs, keys, **options)
+    named = F.concat_ws("|", *[F.col(k).cast("string") for k in (*keys, "win_end")])
+    vector = array_to_vector(F.array(*[F.col(c).cast("double") for c in columns]))
+    return frames.select(*keys, named.alias("key"), vector.alias("features"))
+
+
+def score_models(pairs, models, classes, columns, keys=("session_id", "ordinal"), **options):
+    """Mean predicted class and majority of every message pair under several models.
+
+    ``models`` maps names to fitted models that predict a place in ``classes`` from
+    ``features``, for example stored neighbours and a support vector machine.  The frames
+    are made once; returns ``<name>_score`` and ``<name>_majority`` per pair.
+    """
+    frames = keyed_features(pairs, columns, keys, **options).persist()
+    names = F.array(*[F.lit(float(c)) for c in classes])
+    whole = None
+    for name, model in models.items():
+        scored = model.transform(frames).withColumn("prediction", F.element_at(names, (F.col("prediction") + 1).cast("int")))
+        found = batch_scores(scored, keys).withColumnsRenamed({"score": f"{name}_score", "majority": f"{name}_majority"})
+        whole = found if whole is None else whole.join(found, list(keys))
+    return whole, frames
+
+
+def write_model_scores(pairs, models, classes, columns, path, keys=("session_id", "ordinal"), **options):
+    """Score a stream of message pairs by several models, one row per pair.
+
+    The models are fitted before; a stored neighbour index is joined by every
+    micro-batch and not built again.  Every micro-batch writes its own folder,
+    so a repeated one replaces itself.
+    """
+
+    def handle(table, batch_id):
+        scored, frames = score_models(table, models, classes, columns, keys, **options)
+        scored.write.mode("overwrite").parquet(f"{path}/run={batch_id}")
+        frames.unpersist()
+
+    run_batches(pairs, handle, state=f"{path}-state")
+
+
 def write_scores(pairs, predict, path, keys=("session_id", "ordinal"), **options):
     """Score a stream of message pairs and append one row per pair to a table.
 

@@ -529,32 +529,39 @@ def overlap_size_sweep(spark, folder):
     return rounded(full.select("session_id", "wsize", "win_end", "xL_mean_l", "yC_var_c"))
 
 
-SCORING = [
-    sql_round(f"coalesce({over(sql_statistic(f, c))}, 0)", f"{c}_{f}_{c[1].lower()}")
-    for f in ("mean", "std", "var", "rms")
-    for c in AXIS
-]
+def unrounded(expression, name):
+    return f'{expression} as "{name}"'
 
 
-#: Frames of a batch of 20 rows all start with its first row.
-SCORING_FFT = [
-    sql_round(
-        f'abs(sum(p."{c}"))'
-        if k == 0
-        else f'sqrt(pow(sum(p."{c}" * cos(2 * pi() * {k} * p.pos / (e.pos + 1))), 2) + pow(sum(p."{c}" * sin(2 * pi() * {k} * p.pos / (e.pos + 1))), 2))',
-        f"{c}_fft_{c[1].lower()}_{name}",
-    )
-    for name, k in FFT_NAMES.items()
-    for c in AXIS
-]
+def sql_scoring(shown=sql_round):
+    """Statistics of the scoring frames."""
+    return [
+        shown(f"coalesce({over(sql_statistic(f, c))}, 0)", f"{c}_{f}_{c[1].lower()}")
+        for f in ("mean", "std", "var", "rms")
+        for c in AXIS
+    ]
+
+
+def sql_scoring_fft(shown=sql_round):
+    """Fourier columns of the scoring frames; frames of a batch of 20 rows all start with its first row."""
+    return [
+        shown(
+            f'abs(sum(p."{c}"))'
+            if k == 0
+            else f'sqrt(pow(sum(p."{c}" * cos(2 * pi() * {k} * p.pos / (e.pos + 1))), 2) + pow(sum(p."{c}" * sin(2 * pi() * {k} * p.pos / (e.pos + 1))), 2))',
+            f"{c}_fft_{c[1].lower()}_{name}",
+        )
+        for name, k in FFT_NAMES.items()
+        for c in AXIS
+    ]
 
 
 @query(
     "scoring_features",
     f"""with {IMU}, placed as (select *, seq // 20 as batch, seq % 20 as pos from imu),
-    slid as (select session_id, batch, pos as win_end, {", ".join(SCORING)} from placed
+    slid as (select session_id, batch, pos as win_end, {", ".join(sql_scoring())} from placed
       window f as (partition by session_id, batch order by pos rows between 19 preceding and current row)),
-    waves as (select e.session_id, e.batch, e.pos as win_end, {", ".join(SCORING_FFT)}
+    waves as (select e.session_id, e.batch, e.pos as win_end, {", ".join(sql_scoring_fft())}
       from placed e join placed p on e.session_id = p.session_id and e.batch = p.batch and p.pos <= e.pos
       where e.pos >= 10 group by e.session_id, e.batch, e.pos)
     select * from slid join waves using (session_id, batch, win_end)""",
