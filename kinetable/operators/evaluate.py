@@ -3,6 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from kinetable.operators.ordering import running_totals, with_hash_order, with_position
+from kinetable.session import checkpointed
 
 TEST_SHARE = 0.25
 
@@ -141,8 +142,9 @@ def micro_auc(predictions, classes, label="label", probabilities="probabilities"
 def evaluate_model(predictions, classes, name, label="label", prediction="prediction", probabilities="probabilities"):
     """AUC, accuracy and all confusion counts of one model as (model, metric, value).
 
-    The predictions are read several times; write expensive ones out first.
+    The predictions are written out once, as every metric reads them.
     """
+    predictions = checkpointed(predictions.select(label, prediction, probabilities))
     auc_rows = micro_auc(predictions, classes, label, probabilities).select(
         F.lit("auc").alias("metric"), F.col("auc").alias("value")
     )
