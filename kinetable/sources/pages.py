@@ -2,8 +2,7 @@
 
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from kinetable.functions.text import hex_number, last_component
 
@@ -77,15 +76,24 @@ def largest_table(html):
     return [row for row in rows if row]
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def largest_table_cells(html: pd.Series) -> pd.Series:
-    return html.map(largest_table)
+@F.udtf(returnType="n int, cells array<string>")
+class LargestTable:
+    """Table function: the rows of a page's largest table, numbered from 0."""
+
+    def eval(self, html: str):
+        for n, row in enumerate(largest_table(html) or ()):
+            yield n, row
 
 
 def largest_table_rows(pages, html="html", keys=("page_id",)):
-    """One row per row of each page's largest table, in page order."""
-    cells = pages.select(*keys, largest_table_cells(F.col(html)).alias("_rows"))
-    return cells.select(*keys, F.posexplode("_rows").alias("n", "cells"))
+    """One row per row of each page's largest table, in page order.
+
+    Pages without a table are left out by a built-in filter and reach no
+    parser; the rows of the others come one by one from a table function, so no
+    page's table is built up as one value.  Null pages have no rows.
+    """
+    named = pages.where(F.col(html).ilike("%<table%")).select(*keys, F.col(html).alias("_html"))
+    return named.lateralJoin(LargestTable(F.col("_html").outer())).select(*keys, "n", "cells")
 
 
 # ---------------------------------------------------------------- fixed values
