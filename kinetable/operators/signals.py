@@ -2,10 +2,11 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from kinetable.operators.ordering import time_slice, with_neighbour
 from kinetable.schema import CHEST_ACTIVITIES, RECORDED_ACTIVITIES, STILL_POSES
+from kinetable.session import checkpointed
 
 # ---------------------------------------------------------------- fixed values
 # Bits of a button notification and their names.
@@ -87,14 +88,59 @@ def first_per_period(df, keys, ts="ts", seconds=60):
     return picked.select(*keys, "period", "_row.*")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def next_entries(late: pd.Series, following: pd.Series, after: pd.Series) -> pd.Series:
+    """Place of the first entry after each of ``late``: 2 i in the following slice, 2 i + 1 in the one after it, -1 for none."""
+    found = []
+    for times, first, second in zip(late, following, after):
+        times, first, second = (np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in (times, first, second))
+        one, two = (np.searchsorted(x, times, side="right") for x in (first, second))
+        found.append(np.where(one < len(first), 2 * one, np.where(two < len(second), 2 * two + 1, -1)))
+    return pd.Series(found)
+
+
+def chained_entries(slices, gap):
+    """(_key, _s, _entry): where the chain from a key's first row enters each of its slices.
+
+    ``slices`` has the possible entries ``_ins`` of every slice and where they leave it.
+    A slice is at least two gaps long, so a chain passes over one slice at most.
+    """
+    group = F.floor(F.col("piece") / F.lit(1000))
+    named = slices.withColumnRenamed("_s", "piece")
+    named = with_neighbour(named, ["_key"], ["piece"], "piece", "_s1", group, ahead=True)
+    named = with_neighbour(named, ["_key"], ["piece"], "_s1", "_s2", group, ahead=True).withColumnRenamed("piece", "_s")
+    lists = slices.select(F.col("_key").alias("_k"), F.col("_s").alias("_at"), "_ins")
+    for i in (1, 2):
+        other = lists.select(F.col("_k").alias(f"_k{i}"), F.col("_at").alias(f"_at{i}"), F.col("_ins").alias(f"_ins{i}"))
+        named = named.join(other, (F.col("_key") == F.col(f"_k{i}")) & (F.col(f"_s{i}") == F.col(f"_at{i}")), "left")
+    late = F.transform("_outs", lambda t: t + F.lit(gap))
+    steps = named.select("_key", "_s", "_s1", "_s2", F.posexplode(next_entries(late, "_ins1", "_ins2")).alias("_i", "_to"))
+    steps = steps.where("_to >= 0").select(
+        "_key", "_s", "_i", F.when(F.col("_to") % 2 == 0, F.col("_s1")).otherwise(F.col("_s2")).alias("_ts"),
+        F.floor(F.col("_to") / 2).cast("int").alias("_ti"),
+    )
+    steps = checkpointed(steps)
+    known = checkpointed(slices.groupBy("_key").agg(F.min("_s").alias("_s")).select("_key", "_s", F.lit(0).alias("_i")))
+    most = slices.groupBy("_key").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    for turn in range(max(0, most - 1).bit_length()):
+        reached = known.join(steps, ["_key", "_s", "_i"]).select("_key", F.col("_ts").alias("_s"), F.col("_ti").alias("_i"))
+        known = checkpointed(known.unionByName(reached))
+        further = steps.select("_key", F.col("_s").alias("_ts"), F.col("_i").alias("_ti"), F.col("_ts").alias("_us"), F.col("_ti").alias("_ui"))
+        doubled = steps.join(further, ["_key", "_ts", "_ti"])
+        steps = checkpointed(doubled.select("_key", "_s", "_i", F.col("_us").alias("_ts"), F.col("_ui").alias("_ti")))
+    return known.join(slices, ["_key", "_s"]).select("_key", "_s", F.get("_ins", F.col("_i")).alias("_entry"))
+
+
 def thin_by_gap(df, key, ts="ts", seconds=60, slice_seconds=86400):
     """Keep a row when more than ``seconds`` have passed since the last kept one.
 
     The rule is sequential per key.  Keys are cut into slices of time: every slice lists where
-    a chain that enters it at one of its first rows would leave it, these short
-    lists are chained per key, and every slice then marks its rows from its
-    known entry.  Entries lie within the first ``seconds`` of a slice, so the
-    lists are smaller than the data by ``slice_seconds / seconds``.
+    a chain that enters it at one of its first rows would leave it, and so where it would
+    enter the next slice.  These steps are composed by pointer doubling: after r rounds the
+    entries of 2**r slices are known, so a key of n slices takes log2(n) joins on
+    (key, slice, entry), which spread one key over all tasks.  Every slice then marks its
+    rows from its known entry.  Entries lie within the first ``seconds`` of a slice, so
+    the lists are smaller than the data by ``slice_seconds / seconds``.
     """
     gap = int(seconds * 1_000_000)
     width = int(slice_seconds * 1_000_000)
@@ -106,7 +152,6 @@ def thin_by_gap(df, key, ts="ts", seconds=60, slice_seconds=86400):
     # Rows of one key and time are kept or dropped together.
     cut = timed.select(F.col(key).alias("_key"), "_t", F.floor(F.col("_t") / F.lit(width)).alias("_s"))
     cut = cut.where("_key is not null and _t is not null").distinct()
-    entry_type = f"_key {key_type}, _s long, _entry long"
     kept_type = f"_key {key_type}, _t long"
 
     def exits(group: pd.DataFrame) -> pd.DataFrame:
@@ -117,19 +162,9 @@ def thin_by_gap(df, key, ts="ts", seconds=60, slice_seconds=86400):
             leave[i] = t[i] if following[i] == len(t) else leave[following[i]]
         border = group["_s"].iloc[0] * width + gap
         count = np.searchsorted(t, border, side="right") + 1
-        table = pd.DataFrame({"_in": t[:count], "_out": leave[:count]})
-        return table.assign(_key=group["_key"].iloc[0], _s=group["_s"].iloc[0])[["_key", "_s", "_in", "_out"]]
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_s", "_in"])
-        last, entries = None, []
-        for piece, rows in group.groupby("_s", sort=True):
-            candidates = rows["_in"].to_numpy()
-            spot = 0 if last is None else int(np.searchsorted(candidates, last + gap, side="right"))
-            if spot < len(candidates):
-                entries.append((group["_key"].iloc[0], piece, candidates[spot]))
-                last = rows["_out"].to_numpy()[spot]
-        return pd.DataFrame(entries, columns=["_key", "_s", "_entry"])
+        return pd.DataFrame(
+            {"_key": [group["_key"].iloc[0]], "_s": [group["_s"].iloc[0]], "_ins": [t[:count]], "_outs": [leave[:count]]}
+        )
 
     def walk(t, first):
         kept, at = [], int(np.searchsorted(t, first, side="left"))
@@ -142,10 +177,10 @@ def thin_by_gap(df, key, ts="ts", seconds=60, slice_seconds=86400):
         t = np.sort(group["_t"].to_numpy())
         return pd.DataFrame({"_key": group["_key"].iloc[0], "_t": walk(t, group["_entry"].iloc[0])})
 
-    jumps = cut.groupBy("_key", "_s").applyInPandas(
-        exits, f"_key {key_type}, _s long, _in long, _out long"
+    slices = cut.groupBy("_key", "_s").applyInPandas(
+        exits, f"_key {key_type}, _s long, _ins array<long>, _outs array<long>"
     )
-    entries = jumps.groupBy("_key").applyInPandas(chain, entry_type)
+    entries = chained_entries(checkpointed(slices), gap)
     sliced = cut.join(entries, ["_key", "_s"]).groupBy("_key", "_s")
     kept = sliced.applyInPandas(mark, kept_type)
     found = (timed[key] == kept["_key"]) & (timed["_t"] == kept["_t"])

@@ -2,7 +2,7 @@
 
 from html.parser import HTMLParser
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from kinetable.functions.text import hex_number, last_component
 
@@ -76,7 +76,7 @@ def largest_table(html):
     return [row for row in rows if row]
 
 
-@F.udtf(returnType="n int, cells array<string>")
+@F.udtf(returnType=T.StructType([T.StructField("n", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))]))
 class LargestTable:
     """Table function: the rows of a page's largest table, numbered from 0."""
 

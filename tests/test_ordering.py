@@ -134,3 +134,21 @@ def test_thinning_is_exact_in_slices(spark, slice_seconds):
             last[key] = s
     kept = thin_by_gap(df, "k", seconds=60, slice_seconds=slice_seconds)
     assert {r["i"] for r in kept.collect()} == expected
+
+
+def test_thinning_of_one_long_key_with_holes(spark):
+    """One key over hundreds of slices, with holes, slices that a chain passes over, and slices of one row."""
+    rng = random.Random(12)
+    times, now = [], 0
+    for _ in range(2500):
+        now += rng.choice([1, 3, 20, 59, 60, 61, 118, 119, 121, 700])
+        times.append(now)
+    rows = [("hot", t, i) for i, t in enumerate(times)] + [("cold", 5, -1), (None, 5, -2)]
+    df = spark.createDataFrame(rows, "k string, s long, i long").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    expected, last = set(), None
+    for i, t in enumerate(times):
+        if last is None or t - last > 60:
+            expected.add(i)
+            last = t
+    kept = {r["i"] for r in thin_by_gap(df, "k", seconds=60, slice_seconds=120).collect()}
+    assert kept == expected | {-1}
