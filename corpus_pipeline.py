@@ -10,20 +10,20 @@ return the columns of ``documents``:
 4. ``secrets`` masks secrets in the texts;
 5. ``pieces`` gives each text's piece ids and their number.
 
-A doc_id names one document: of rows that repeat it the second stage keeps
-one.  A row with a null doc_id cannot be named and passes the first two
+Of conflicting labels of one document the smaller counts.  A doc_id names one
+document: of rows that repeat it the second stage keeps one.  A row with a null doc_id cannot be named and passes the first two
 stages.  Null texts pass every stage whose test they do not fail.
 """
 
 from pyspark.sql import functions as F
 
 from kinetable.llm import decontamination, ngram_join, piece_codec, quality, secret_scan
-from kinetable.llm.base import table, written
+from kinetable.llm.base import small_batches, table, written
 from kinetable.llm.pieces import default_model
 
 
 def drop_low_quality(spark, docs, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     found = quality.classify_quality(docs, labels)
     return quality.drop_documents(docs, found.where("not kept"))
 
@@ -50,15 +50,24 @@ def encode(spark, docs, sf_dir):
     return piece_codec.encode_pieces(docs, default_model())
 
 
+def bounded(stage):
+    """The stage with rows handed to Python workers in small batches: a stage's tasks stay within an executor's memory."""
+
+    def run_stage(spark, docs, sf_dir):
+        return stage(small_batches(spark), docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality", drop_low_quality),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_leaks),
-    ("secrets", mask_secrets),
-    ("pieces", encode),
+    ("quality", bounded(drop_low_quality)),
+    ("near_duplicates", bounded(drop_near_duplicates)),
+    ("decontamination", bounded(drop_leaks)),
+    ("secrets", bounded(mask_secrets)),
+    ("pieces", bounded(encode)),
 ]
 
-#: The stages go beyond SQL (a fitted classifier, automata, Markov models); tests hold them against brute force.
+#: The stages go beyond SQL (a fitted classifier, automata, Markov models).
 ORACLE_SQL = None
 
 
