@@ -9,6 +9,8 @@ before the shuffle.
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kinetable.functions import stats
@@ -185,6 +187,10 @@ def overlap_features(
     return frame_features(placed, w, step, step, keys=(session,), pos=pos, **options)
 
 
+#: Statistics that the frames of a message compute from its array.
+MESSAGE_STATISTICS = ("mean", "std", "var", "rms")
+
+
 def scoring_features(
     df, wsize_sec=2, overlap=0.5, rate=10, step=None, keys=("session_id", "batch"), pos="pos", **options
 ):
@@ -192,7 +198,9 @@ def scoring_features(
 
     The step is ``int(wsize_sec * overlap)`` rows as in the live server; pass
     ``step`` for another one.  A batch is one message, so positions inside it
-    are given by the message itself.
+    are given by the message itself, and a message's frames are computed from
+    one array of its rows: no row is sent to several frames.  Other
+    statistics, labels and correlations take the general way of ``frame_features``.
     """
     w = int(rate * wsize_sec)
     start = int(w * overlap)
@@ -204,7 +212,80 @@ def scoring_features(
         "fill": 0.0,
         **options,
     }
-    return frame_features(df, w, step, start, keys=keys, pos=pos, **settings)
+    plain = {"layout", "f_list", "fft", "fill", "magnitude", "label", "correlations"}
+    by_array = set(settings) <= plain and not settings["magnitude"] and settings["label"] is None
+    by_array = by_array and settings.get("correlations", "pairs") is None and set(settings.get("f_list", ())) <= set(MESSAGE_STATISTICS)
+    if not by_array:
+        return frame_features(df, w, step, start, keys=keys, pos=pos, **settings)
+    settings = {k: v for k, v in settings.items() if k not in ("magnitude", "label", "correlations")}
+    return message_frames(df, w, step, start, keys, pos, **settings)
+
+
+def message_frames(df, w, step, start, keys, pos="pos", layout=SENSORS, f_list=MESSAGE_STATISTICS, fft=(), fill=None):
+    """``frame_features`` of messages, from one array a message.
+
+    A message is one row of the result's input: its rows are collected once
+    and every kept frame is a slice of them.  Missing and NaN values are left out.
+    """
+    keys, axes = list(keys), axis_columns(layout)
+    names = feature_columns(layout, f_list, False, fft, None)
+    bins = [FFT_BINS[name] for name in fft]
+    least = int(w / 2) if start + 1 < int(w / 2) else 0
+    kinds = dict(df.dtypes)
+    rows = df.select(*keys, F.struct(F.col(pos).cast("int").alias("pos"), *[F.col(c).cast("double").alias(c) for c in axes]).alias("_row"))
+    messages = rows.where("_row.pos is not null").groupBy(*keys).agg(F.collect_list("_row").alias("_rows"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("_rows"))
+            values = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            at = values.field(0).to_numpy()
+            length = int(at.max(initial=-1)) + 1
+            x = np.full((batch.num_rows, length, len(axes)), np.nan)
+            there = np.zeros((batch.num_rows, length), dtype=bool)
+            there[owner, at] = True
+            for i in range(len(axes)):
+                x[owner, at, i] = values.field(1 + i).to_numpy(zero_copy_only=False)
+            for end in range(start, length, step):
+                own = np.flatnonzero(there[:, end])
+                if not len(own):
+                    continue
+                begin = max(0, end - w + 1)
+                columns = frame_columns(x[own, begin : end + 1], f_list, bins)
+                n_rows = there[own, begin : end + 1].sum(1)
+                if least:
+                    columns = np.where((n_rows >= least)[:, None], columns, np.nan)
+                known = np.isfinite(columns)
+                shown = [pa.array(c, mask=~k) for c, k in zip(columns.T, known.T)]
+                fixed = [batch.column(batch.schema.get_field_index(k)).take(pa.array(own)) for k in keys]
+                ends = [pa.array(np.full(len(own), end, dtype=np.int64)), pa.array(n_rows.astype(np.int64))]
+                yield pa.record_batch([*fixed, *ends, *shown], names=[*keys, "win_end", "n_rows", *names])
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "win_end long", "n_rows long", *[f"`{n}` double" for n in names]])
+    found = messages.mapInArrow(run, schema)
+    return found if fill is None else found.withColumns({n: F.coalesce(F.col(n), F.lit(float(fill))) for n in names})
+
+
+def frame_columns(x, f_list, bins):
+    """Features of frames ``x[frame, row, axis]``, missing values NaN, in the order of the feature columns."""
+    known = ~np.isnan(x)
+    n = known.sum(1).astype(float)
+    filled = np.where(known, x, 0.0)
+    few = np.where(n > 0, n, np.nan)
+    mean = filled.sum(1) / few
+    apart = np.where(known, x - mean[:, None, :], 0.0)
+    variance = (apart * apart).sum(1) / np.where(n > 1, n - 1, np.nan)
+    made = {"mean": mean, "std": np.sqrt(variance), "var": variance, "rms": np.sqrt((filled * filled).sum(1) / few)}
+    columns = [made[f] for f in f_list]
+    turn = 2.0 * np.pi * np.arange(x.shape[1]) / x.shape[1]
+    for k in bins:
+        if k == 0:
+            found = np.abs(filled.sum(1))
+        else:
+            found = np.hypot(np.einsum("fra,r->fa", filled, np.cos(k * turn)), np.einsum("fra,r->fa", filled, np.sin(k * turn)))
+        columns.append(np.where(n > 0, found, np.nan))
+    return np.concatenate(columns, axis=1)
 
 
 def overlap_sweep(

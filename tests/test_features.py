@@ -1,5 +1,7 @@
 """Hand-made windows: ties, constant axes, gaps, alignment, short frames."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
@@ -189,3 +191,29 @@ def test_custom_statistic_and_unknown_name(spark):
         assert out["xL_peak_l"] == block[:, 0].max()
     finally:
         del stats.STATISTICS["peak"]
+
+
+def test_frames_of_a_message_array_equal_the_general_way(spark):
+    """Missing values, missing rows, constant axes, messages of one row and short ones, another step."""
+    rng = random.Random(21)
+    rows = []
+    for batch, n in enumerate((20, 20, 13, 11, 1, 20)):
+        for p in range(n):
+            if batch != 1 or p % 6:
+                x = [None if batch == 5 and rng.random() < 0.4 else rng.uniform(-3, 3) for _ in range(9)]
+                x[3] = 2.0 if batch == 0 else x[3]
+                rows.append(("a", batch, p, *x))
+    axes = axis_columns("LRC")
+    df = spark.createDataFrame(rows, f"session_id string, batch long, pos long, {', '.join(f'{c} double' for c in axes)}").repartition(3)
+    options = {"f_list": ("rms", "mean", "var", "std"), "fft": ("negative", "zero")}
+    for w, step, start in ((20, 1, 10), (8, 3, 2)):
+        one = overlap.message_frames(df, w, step, start, ("session_id", "batch"), **options)
+        other = overlap.frame_features(df, w, step, start, ("session_id", "batch"), magnitude=False, correlations=None, label=None, **options)
+        assert one.columns == other.columns
+        a, b = (t.orderBy("batch", "win_end").collect() for t in (one, other))
+        assert len(a) == len(b) > 20
+        for x, y in zip(a, b):
+            assert x[:4] == y[:4]
+            assert [v is None for v in x] == [v is None for v in y]
+            assert [v for v in x[4:] if v is not None] == pytest.approx([v for v in y[4:] if v is not None], abs=1e-9)
+    assert overlap.scoring_features(df.where("batch > 99"), correlations=None).collect() == []
