@@ -27,7 +27,7 @@ def align_sensors(spark, folder):
 
 # Messages of 20 positions; every seventh message of a topic got lost.
 MESSAGES = """
-messages as (
+messages as materialized (
   select *, row_number() over (partition by session_id, sensor, batch order by seq) - 1 as pos,
     dense_rank() over (partition by session_id, sensor order by batch) - 1 as ordinal
   from (select *, seq // 20 as batch, seq % 20 + 1 as idx from imu_long) t

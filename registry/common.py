@@ -44,7 +44,7 @@ def rounded(df, digits=6):
 
 # The recordings of kinetable.plans.tables.imu, written independently in SQL.
 IMU = """
-imu as (
+imu as materialized (
   select l_suppkey as session_id,
     row_number() over (partition by l_suppkey
                        order by l_orderkey, l_linenumber, l_partkey) - 1 as seq,
@@ -63,7 +63,7 @@ clean as (select * from imu where label <> 0)
 """
 
 LONG = """
-imu_long as (
+imu_long as materialized (
   select session_id, seq, ts, label, 'L' as sensor, "xL" as x, "yL" as y, "zL" as z
   from imu where (seq + 0) % 11 <> 0
   union all
