@@ -12,10 +12,10 @@ covers all sizes a partner can have.
 Equal sets are one node from the start, so copies cost one row a task.  The
 verification compares small blocks of like nodes as sparse products.  A node
 travels as its compressed text, a fraction of its shingles' size, and its set
-is made again where it is compared.  First each block meets itself and one
-node of the block it shares most keys with, then only nodes and blocks that
-share keys and are not connected yet.  Only links that connect something new
-leave a pair of blocks, so large groups of near copies are never spelt out.
+is made again where it is compared.  Every pair of blocks that share enough
+keys is compared, so every link is verified and counted.  What leaves a pair
+of blocks is a forest of its links and each node's number of links, so the
+links of large groups of near copies are never spelt out.
 """
 
 import numpy as np
