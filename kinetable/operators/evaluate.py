@@ -116,7 +116,8 @@ def roc_points(scores, score="score", hit="hit"):
     grouped = scores.groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.sum(hit).cast("long").alias("pos"), F.sum(1 - F.col(hit)).cast("long").alias("neg")
     )
-    points = running_totals(grouped, "threshold", ["pos", "neg"], descending=True)
+    # One row a score, written once: the ranges, their totals and the sums each read it.
+    points = running_totals(checkpointed(grouped), "threshold", ["pos", "neg"], descending=True)
     return points.select(
         "threshold", "pos", "neg",
         F.col("cum_pos").cast("long").alias("tp"),
