@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kinetable.session import scratch_path
+from kinetable.session import BATCH_BYTES, scratch_path, small_batches  # noqa: F401
 
 QUERIES = {}
 ORACLES = {}
@@ -11,16 +11,6 @@ ORACLES = {}
 STEP_BYTES = 500_000
 
 
-#: Bytes of rows that go to a Python worker at once; a longer single row goes alone.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark):
-    """Let the session hand rows to Python workers in batches of bounded size, whatever the length of its texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
-
-
 def query(name, sql=None):
     """Register a function (spark, folder) -> DataFrame, and its SQL if it has one."""
 

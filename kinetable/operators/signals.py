@@ -2,11 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from kinetable.operators.ordering import time_slice, with_neighbour
 from kinetable.schema import CHEST_ACTIVITIES, RECORDED_ACTIVITIES, STILL_POSES
-from kinetable.session import checkpointed
+from kinetable.session import checkpointed, small_batches
 
 # ---------------------------------------------------------------- fixed values
 # Bits of a button notification and their names.
@@ -100,9 +101,9 @@ def next_entries(late: pd.Series, following: pd.Series, after: pd.Series) -> pd.
 
 
 def chained_entries(slices, gap):
-    """(_key, _s, _entry): where the chain from a key's first row enters each of its slices.
+    """(_key, _s, _times, _entry): where the chain from a key's first row enters each of its slices.
 
-    ``slices`` has the possible entries ``_ins`` of every slice and where they leave it.
+    ``slices`` has the times of every slice, its possible entries ``_ins`` and where they leave it.
     A slice is at least two gaps long, so a chain passes over one slice at most.
     """
     group = F.floor(F.col("piece") / F.lit(1000))
@@ -128,7 +129,22 @@ def chained_entries(slices, gap):
         further = steps.select("_key", F.col("_s").alias("_ts"), F.col("_i").alias("_ti"), F.col("_ts").alias("_us"), F.col("_ti").alias("_ui"))
         doubled = steps.join(further, ["_key", "_ts", "_ti"])
         steps = checkpointed(doubled.select("_key", "_s", "_i", F.col("_us").alias("_ts"), F.col("_ui").alias("_ti")))
-    return known.join(slices, ["_key", "_s"]).select("_key", "_s", F.get("_ins", F.col("_i")).alias("_entry"))
+    return known.join(slices, ["_key", "_s"]).select("_key", "_s", "_times", F.get("_ins", F.col("_i")).alias("_entry"))
+
+
+def slice_steps(batch, width, gap):
+    """The times of a batch of slices in one line, and each one's successor in a chain.
+
+    Returns the times, their slice's place in the batch, where each slice ends, the times
+    on a line that keeps slices more than a gap apart, and the place of the first time of the same
+    slice that is more than ``gap`` later (a time's own place if it leaves the slice).
+    """
+    lists = batch.column("_times")
+    t, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    owner, ends = np.repeat(np.arange(batch.num_rows), lengths), np.cumsum(lengths)
+    line = t - batch.column("_s").to_numpy()[owner] * width + owner * 2 * width
+    after = np.searchsorted(line, line + gap, side="right")
+    return t, owner, ends, line, np.where(after < ends[owner], after, np.arange(len(t)))
 
 
 def thin_by_gap(df, key, ts="ts", seconds=60, slice_seconds=86400):
@@ -139,49 +155,51 @@ def thin_by_gap(df, key, ts="ts", seconds=60, slice_seconds=86400):
     enter the next slice.  These steps are composed by pointer doubling: after r rounds the
     entries of 2**r slices are known, so a key of n slices takes log2(n) joins on
     (key, slice, entry), which spread one key over all tasks.  Every slice then marks its
-    rows from its known entry.  Entries lie within the first ``seconds`` of a slice, so
+    rows from its known entry.  Many slices are worked off together as one line of times.  Entries lie within the first ``seconds`` of a slice, so
     the lists are smaller than the data by ``slice_seconds / seconds``.
     """
     gap = int(seconds * 1_000_000)
     width = int(slice_seconds * 1_000_000)
     if width < 2 * gap:
         raise ValueError("a slice must be at least two gaps long")
+    small_batches(df.sparkSession)
     zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     timed = df.withColumn("_t", F.timestamp_diff("MICROSECOND", zero, F.col(ts)))
     key_type = dict(df.dtypes)[key]
     # Rows of one key and time are kept or dropped together.
     cut = timed.select(F.col(key).alias("_key"), "_t", F.floor(F.col("_t") / F.lit(width)).alias("_s"))
     cut = cut.where("_key is not null and _t is not null").distinct()
-    kept_type = f"_key {key_type}, _t long"
-
-    def exits(group: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(group["_t"].to_numpy())
-        following = np.searchsorted(t, t + gap, side="right")
-        leave = np.empty(len(t), dtype=np.int64)
-        for i in range(len(t) - 1, -1, -1):
-            leave[i] = t[i] if following[i] == len(t) else leave[following[i]]
-        border = group["_s"].iloc[0] * width + gap
-        count = np.searchsorted(t, border, side="right") + 1
-        return pd.DataFrame(
-            {"_key": [group["_key"].iloc[0]], "_s": [group["_s"].iloc[0]], "_ins": [t[:count]], "_outs": [leave[:count]]}
-        )
-
-    def walk(t, first):
-        kept, at = [], int(np.searchsorted(t, first, side="left"))
-        while at < len(t):
-            kept.append(t[at])
-            at = int(np.searchsorted(t, t[at] + gap, side="right"))
-        return kept
-
-    def mark(group: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(group["_t"].to_numpy())
-        return pd.DataFrame({"_key": group["_key"].iloc[0], "_t": walk(t, group["_entry"].iloc[0])})
-
-    slices = cut.groupBy("_key", "_s").applyInPandas(
-        exits, f"_key {key_type}, _s long, _ins array<long>, _outs array<long>"
-    )
+    times = cut.groupBy("_key", "_s").agg(F.sort_array(F.collect_list("_t")).alias("_times"))
+
+    def exits(batches):
+        for batch in batches:
+            t, owner, ends, line, after = slice_steps(batch, width, gap)
+            leave = after
+            while not np.array_equal(leave, leave[leave]):
+                leave = leave[leave]
+            lengths = np.diff(ends, prepend=0)
+            early = np.bincount(owner[line % (2 * width) <= gap], minlength=batch.num_rows)
+            taken = np.arange(len(t)) - (ends - lengths)[owner] <= early[owner]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.minimum(early + 1, lengths))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[taken])) for x in (t, t[leave])]
+            yield pa.record_batch([*batch.columns, *lists], names=["_key", "_s", "_times", "_ins", "_outs"])
+
+    def mark(batches):
+        for batch in batches:
+            t, _, ends, line, after = slice_steps(batch, width, gap)
+            base = np.arange(batch.num_rows) * 2 * width - batch.column("_s").to_numpy() * width
+            at = np.searchsorted(line, base + batch.column("_entry").to_numpy())
+            kept, owner = [], np.arange(batch.num_rows)
+            while len(at):
+                kept.append((owner, at))
+                further = after[at] != at
+                owner, at = owner[further], after[at[further]]
+            if kept:
+                owner, at = (np.concatenate(x) for x in zip(*kept))
+                yield pa.record_batch([batch.column("_key").take(pa.array(owner)), pa.array(t[at])], names=["_key", "_t"])
+
+    slices = times.mapInArrow(exits, f"_key {key_type}, _s long, _times array<long>, _ins array<long>, _outs array<long>")
     entries = chained_entries(checkpointed(slices), gap)
-    sliced = cut.join(entries, ["_key", "_s"]).groupBy("_key", "_s")
-    kept = sliced.applyInPandas(mark, kept_type)
+    kept = entries.mapInArrow(mark, f"_key {key_type}, _t long")
     found = (timed[key] == kept["_key"]) & (timed["_t"] == kept["_t"])
     return timed.join(kept, found, "left_semi").select(*df.columns)

@@ -152,3 +152,13 @@ def test_thinning_of_one_long_key_with_holes(spark):
             last = t
     kept = {r["i"] for r in thin_by_gap(df, "k", seconds=60, slice_seconds=120).collect()}
     assert kept == expected | {-1}
+
+
+def test_thinning_works_slices_off_together(spark):
+    """Keys of a few rows cost no Python call each: many slices go to a worker as one batch."""
+    rows = spark.range(30_000).select((F.col("id") % 10_000).alias("k"), F.expr("id div 10000 * 40").alias("s"), F.col("id").alias("i"))
+    df = rows.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    plan = thin_by_gap(df, "k", seconds=60, slice_seconds=120)
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
+    # Times 0, 40, 80: 40 is within the gap of 0, 80 is not.
+    assert {r["s"]: r["n"] for r in plan.groupBy("s").agg(F.count("*").alias("n")).collect()} == {0: 10_000, 80: 10_000}
