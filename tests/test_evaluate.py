@@ -1,6 +1,7 @@
 """Splits, folds, neighbours and metrics."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,21 @@ def test_metrics_with_an_absent_class(spark):
     assert metrics["auc"] == pytest.approx(7 / 8)
     table = {r["actual"]: r["predicted_1"] for r in ev.confusion_table(df, [1, 2, 3]).collect()}
     assert table == {1: 1, 2: 1, 3: 0}
+
+
+def test_blocks_of_large_cells_grow(spark):
+    """Small asked blocks hold for small cells; a row of a large cell is not copied for thousands of them."""
+    counts = np.array([0, 15, 130, 50_000, 2_000_000])
+    assert knn.blocks(counts, 20, knn.BLOCK_ROWS, 64).tolist() == [1, 1, 7, 8, 100]
+    assert knn.blocks(counts, 50, knn.QUERY_ROWS, 64).tolist() == [1, 1, 3, 10, 400]
+    # Wide rows: the asked size is kept where a usual block would hold too many numbers.
+    assert knn.blocks(counts, 1000, knn.BLOCK_ROWS, 10_000).tolist() == [1, 1, 1, 50, 2000]
+
+
+def test_visits_come_in_tables_of_bounded_size(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(300, 64))
+    index = knn.NeighbourIndex(None, centres, np.full(300, 5), np.full(300, 100.0), [np.zeros(2)] * 300, 2, 10)
+    asked = pd.DataFrame({"q_key": np.arange(200), "q_x": list(rng.normal(size=(200, 64)))})
+    sizes = [len(x) for x in index.visits(asked, 2)]
+    assert sum(sizes) == 200 * 300 and max(sizes) <= knn.BLOCK_VALUES // 64
