@@ -153,3 +153,30 @@ def test_scores_of_repeated_batches_replace_themselves(spark, scratch):
     out = spark.read.parquet(f"{scratch}/scores/run=*").orderBy("ordinal").collect()
     # Frame means of positions 10..19 are 5.0 .. 9.5; five of ten exceed seven.
     assert [(r["ordinal"], r["score"], r["majority"]) for r in out] == [(0, 1.5, 1.0), (1, 1.5, 1.0)]
+
+
+def test_pairs_need_no_trigger_without_input(spark, scratch):
+    """Inner joins give nothing in a trigger without input, so it can be left out with the same pairs."""
+    rows = spark.range(30).select(F.lit(1).alias("s"), (F.col("id") % 10).alias("n"), at(F.col("id") % 10).alias("ts"), "id")
+    stream = as_files(rows, "n", 3, f"{scratch}/in")
+    timed = stream.select("s", "n", live.as_instant(F.col("ts")).alias("t"), "id")
+    left = timed.where("id < 10").withWatermark("t", "1 second")
+    right = timed.where("id >= 10").select("n", F.col("t").alias("u"), F.col("id").alias("other")).withWatermark("u", "1 second")
+    pairs = left.join(right, (left["n"] == right["n"]) & F.expr("u >= t - interval 1 second and u <= t + interval 1 second")).select("id", "other")
+    seen = {}
+    for empty in (True, False):
+        calls = seen[empty] = []
+        live.run_batches(pairs, lambda table, _, calls=calls: calls.append(sorted(map(tuple, table.collect()))), state=f"{scratch}/{empty}", empty_triggers=empty)
+    assert sorted(sum(seen[True], [])) == sorted(sum(seen[False], [])) and len(sum(seen[False], [])) == 20
+    assert len(seen[False]) == 3 < len(seen[True])
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
+def test_live_training_is_written_out(spark, folder):
+    """Models read the frames several times; they are made once, and only the frames that are kept."""
+    from registry.streams import live_training
+
+    training = live_training(spark, folder)
+    assert "Aggregate" not in training._jdf.queryExecution().toString()
+    whole = tables.imu(spark, folder).groupBy("session_id", F.floor(F.col("seq") / 20)).count().where("count = 20")
+    assert training.count() == whole.count()
