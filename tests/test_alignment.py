@@ -112,3 +112,14 @@ def test_gate_of_a_busy_device_is_brute_force(spark):
             if last == "start":
                 wanted.add((d, n))
     assert found == wanted
+
+
+def test_ordinals_move_no_messages(spark):
+    rows = [(1, "Left", b, [1.0] * 5) for b in (2, 2, 5, 9)] + [(1, "Right", 4, [2.0]), (None, "Left", 1, [3.0]), (2, "Left", None, [4.0])]
+    messages = spark.createDataFrame(rows, "session_id long, topic string, batch long, rows array<double>")
+    grouped = messages.repartition("session_id", "topic", "batch")
+    numbered = align.with_ordinal(grouped)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "rows#" in plan and plan.count("Exchange hashpartitioning(session_id") == 1
+    got = sorted((r["session_id"] or 0, r["topic"], r["batch"] or 0, -1 if r["ordinal"] is None else r["ordinal"]) for r in numbered.collect())
+    assert got == [(0, "Left", 1, -1), (1, "Left", 2, 0), (1, "Left", 2, 1), (1, "Left", 5, 2), (1, "Left", 9, 3), (1, "Right", 4, 0), (2, "Left", 0, -1)]

@@ -162,3 +162,19 @@ def test_thinning_works_slices_off_together(spark):
     assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
     # Times 0, 40, 80: 40 is within the gap of 0, 80 is not.
     assert {r["s"]: r["n"] for r in plan.groupBy("s").agg(F.count("*").alias("n")).collect()} == {0: 10_000, 80: 10_000}
+
+
+def test_default_slices_of_numbers_are_looked_up_by_bisection(spark):
+    big = 2**53
+    rows = [(1, v) for v in [*range(500), big, big + 1, big + 2, None]]
+    df = spark.createDataFrame(rows, "k int, o long")
+    placed = ordering.with_position(df, ["k"], ["o"])
+    assert "lambda" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["o"]: r["pos"] for r in placed.collect()}
+    assert got == {**{i: i for i in range(500)}, big: 500, big + 1: 501, big + 2: 502, None: None}
+
+
+def test_weights_count_rows_that_others_stand_for(spark):
+    df = spark.createDataFrame([(1, i, 1 + i % 3) for i in range(50)], "k int, o long, n long")
+    got = {r["o"]: r["pos"] for r in ordering.with_position(df, ["k"], ["o"], weight="n").collect()}
+    assert got == {i: sum(1 + j % 3 for j in range(i)) for i in range(50)}
