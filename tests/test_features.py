@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -217,3 +218,64 @@ def test_frames_of_a_message_array_equal_the_general_way(spark):
             assert [v is None for v in x] == [v is None for v in y]
             assert [v for v in x[4:] if v is not None] == pytest.approx([v for v in y[4:] if v is not None], abs=1e-9)
     assert overlap.scoring_features(df.where("batch > 99"), correlations=None).collect() == []
+
+
+def placed_walk(spark, n):
+    """Two recordings of ``n`` placed rows, with a missing value now and then."""
+    x = F.when(F.col("id") % 7 != 3, F.pmod(F.col("id") * 37, F.lit(101)).cast("double"))
+    rows = spark.range(2 * n).select((F.col("id") % 2).alias("session_id"), F.floor(F.col("id") / 2).alias("pos"), x.alias("xL"))
+    return rows.withColumns({"yL": F.col("pos") * 0.5, "zL": F.lit(1.0)})
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_close_frames_are_formed_after_one_shuffle_of_rows(spark):
+    n = 300
+    full = overlap.frame_features(placed_walk(spark, n), 4, 1, 1, layout="L", f_list=("mean",), magnitude=False, correlations=None, label=None)
+    before_shuffle = exchanges(full)[1].split("Exchange hashpartitioning")
+    assert len(before_shuffle) == 2 and "Aggregate" not in before_shuffle[1]
+    got = {(r["session_id"], r["win_end"]): (r["n_rows"], r["xL_mean_l"]) for r in full.collect()}
+    rows = {(r["session_id"], r["pos"]): r["xL"] for r in placed_walk(spark, n).collect()}
+    assert len(got) == 2 * (n - 1)
+    for (session, end), (size, mean) in got.items():
+        inside = [rows[session, p] for p in range(max(0, end - 3), end + 1)]
+        known = [v for v in inside if v is not None]
+        assert size == len(inside) and mean == pytest.approx(sum(known) / len(known))
+
+
+def test_python_statistic_takes_many_windows_at_once(spark):
+    def known_and_all(values):
+        return values.count() * 1000 + len(values)
+
+    options = dict(layout="L", magnitude=False, correlations=None, label=None)
+    full = overlap.frame_features(placed_walk(spark, 150), 20, 10, 10, f_list=("mean", known_and_all), **options)
+    assert "AggregateInPandas" not in exchanges(full)[0] and "ArrowAggregatePython" not in exchanges(full)[0]
+    rows = {(r["session_id"], r["pos"]): r["xL"] for r in placed_walk(spark, 150).collect()}
+    for r in full.collect():
+        inside = [rows[r["session_id"], p] for p in range(max(0, r["win_end"] - 19), r["win_end"] + 1)]
+        assert r["xL_known_and_all_l"] == sum(v is not None for v in inside) * 1000 + len(inside)
+
+
+def test_window_apply_hands_windows_of_a_batch_to_python_together(spark):
+    rows = spark.range(2000).select(
+        F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("session_id"), F.timestamp_add(
+            "MILLISECOND", F.col("id") * 10, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("ts"), F.col("id").alias("v"))
+
+    def ends(part):
+        return pd.DataFrame({"first": [part["v"].iloc[0]], "last": [part["v"].iloc[-1]], "n": [len(part)]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")  # windows of 100 / 3 rows and batches cross
+    try:
+        made = tumble.window_apply(rows.repartition(5), "1s", ends, "first long, last long, n long")
+        assert "FlatMapGroups" not in exchanges(made)[0]
+        got = sorted((r["session_id"] or 0, r["win_start"].second, r["first"], r["last"], r["n"]) for r in made.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for s in range(3):
+        for second in range(20):
+            mine = [i for i in range(100 * second, 100 * second + 100) if i % 3 == s]
+            want.append((s, second, mine[0], mine[-1], len(mine)))
+    assert got == want
