@@ -180,3 +180,23 @@ def test_live_training_is_written_out(spark, folder):
     assert "Aggregate" not in training._jdf.queryExecution().toString()
     whole = tables.imu(spark, folder).groupBy("session_id", F.floor(F.col("seq") / 20)).count().where("count = 20")
     assert training.count() == whole.count()
+
+
+def test_gate_reads_what_waits_once_for_all_slices_that_are_over():
+    from types import SimpleNamespace
+
+    calls, waiting, timers, running = [], [], [], []
+    listed = SimpleNamespace(
+        appendList=waiting.extend, get=lambda: calls.append("get") or iter(list(waiting)),
+        put=lambda rows: waiting.__setitem__(slice(None), rows), clear=waiting.clear,
+    )
+    value = SimpleNamespace(get=lambda: running[-1] if running else None, update=running.append)
+    gate = stateful.EventTimeGate([SimpleNamespace(name="n")], 1_000_000)
+    gate.waiting, gate.running, gate.handle = listed, value, SimpleNamespace(registerTimer=timers.append)
+    rows = [{"_us": i * 500_000, "_cmd": "start" if i == 3 else "finish" if i == 40 else None, "n": i} for i in range(60)]
+    list(gate.handleInputRows((1,), iter(rows), None))
+    assert timers == [1000]  # one a trigger, not one a slice
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 25_700)
+    found = list(gate.handleExpiredTimer((1,), clock, SimpleNamespace(getExpiryTimeInMs=lambda: 1000)))
+    assert [r["n"] for r in found] == list(range(4, 40)) and calls == ["get"]
+    assert [w[0] for w in waiting] == [i * 500_000 for i in range(50, 60)] and timers == [1000, 26_000]
