@@ -200,3 +200,54 @@ def test_gate_reads_what_waits_once_for_all_slices_that_are_over():
     found = list(gate.handleExpiredTimer((1,), clock, SimpleNamespace(getExpiryTimeInMs=lambda: 1000)))
     assert [r["n"] for r in found] == list(range(4, 40)) and calls == ["get"]
     assert [w[0] for w in waiting] == [i * 500_000 for i in range(50, 60)] and timers == [1000, 26_000]
+
+
+def test_queues_share_groups_and_outgrow_what_is_at_hand(spark, scratch):
+    """Fewer groups than sessions, one of them null; a topic waits over triggers for more than is kept beside the counters."""
+    stateful.with_state_store(spark)
+    n = 3 * stateful.AT_HAND
+    rows = []
+    for session in (None, 1, 2, 2**60 + 1):
+        for j, topic in enumerate(align.TOPICS):
+            for i in range(n - j):
+                late = 1000 if (session, topic) == (2, "Right") else 0
+                rows.append((session, topic, 2 * i + j, 10 * i + late, f'[{{"index":1,"x":{i}.5,"y":0,"z":1,"sensor":"{topic}"}}]'))
+    df = spark.createDataFrame(rows, "session_id long, topic string, offset long, s long, payload string").withColumn("ts", at(F.col("s")))
+    pairs = live.run_to_table(stateful.pair_by_arrival(as_files(df, "s", 3, f"{scratch}/in"), groups=2), f"{scratch}/out")
+    found = [(r["session_id"], r["ordinal"], *[r[f"{t}_offset"] for t in align.TOPICS], r["Right"][0]["x"]) for r in pairs.collect()]
+    want = [(s, i, 2 * i, 2 * i + 1, 2 * i + 2, i + 0.5) for s in (None, 1, 2, 2**60 + 1) for i in range(n - 2)]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+def test_queues_ask_the_state_twice_a_session_and_trigger():
+    """Every call is a round trip between Python and Spark; a message that waits beside the counters costs none."""
+    from types import SimpleNamespace
+
+    calls = []
+
+    def map_state(name, *_):
+        held = {}
+        return SimpleNamespace(
+            getValue=lambda k: calls.append((name, "get")) or held.get(k),
+            updateValue=lambda k, v: calls.append((name, "put")) or held.__setitem__(k, v),
+            removeKey=lambda k: calls.append((name, "remove")) or held.pop(k),
+        )
+
+    pairing = stateful.FifoPairing(align.TOPICS, "session_id", "string")
+    pairing.init(SimpleNamespace(getMapState=map_state))
+    found = []
+    for trigger in range(4):
+        rows = [
+            {"id": s, "topic": t, "offset": i, "at": i, "payload": f"{s}{t}{i}"}
+            for s in "ab" for j, t in enumerate(align.TOPICS) for i in range(5 * trigger + j, 5 * trigger + j + 5)
+        ]
+        rows += [{"id": "a", "topic": "Left", "offset": -1, "at": 0, "payload": "first"}] if trigger == 0 else []
+        found += pairing.handleInputRows((0,), iter(rows), None)
+    assert calls == [("known", "get"), ("known", "put")] * 2 * 4
+    assert [r["payload0"] for r in found if r["session_id"] == "a"][:2] == ["first", "aLeft0"]
+    assert [sum(r["session_id"] == s for r in found) for s in "ab"] == [20, 20]
+    long = [{"id": "c", "topic": "Left", "offset": i, "at": i, "payload": str(i)} for i in range(100)]
+    for some in (long[:60], long[60:]):
+        list(pairing.handleInputRows((0,), iter(some), None))
+    stored = [c for c in calls if c[0] == "queue"]
+    assert stored == [("queue", "put")] * (100 - stateful.AT_HAND)
