@@ -251,3 +251,22 @@ def test_queues_ask_the_state_twice_a_session_and_trigger():
         list(pairing.handleInputRows((0,), iter(some), None))
     stored = [c for c in calls if c[0] == "queue"]
     assert stored == [("queue", "put")] * (100 - stateful.AT_HAND)
+
+
+def test_queues_of_sessions_that_rest(spark, scratch):
+    """Sessions of one group, one null and one not a number, come in some triggers only."""
+    stateful.with_state_store(spark)
+    sessions, rows = (None, 1.0, 2.0, float("nan"), 5.0), []
+    for k, session in enumerate(sessions):
+        for trigger in range(4):
+            for j, topic in enumerate(align.TOPICS):
+                for i in range(3 if (trigger + k) % 2 else 0):
+                    rows.append((session, topic, 10 * trigger + i, 100 * trigger + 10 * i + k + (60 if j == 1 else 0), f'[{{"index":1,"x":{j}.5,"y":0,"z":1,"sensor":"{topic}"}}]'))
+    df = spark.createDataFrame(rows, "session_id double, topic string, offset long, s long, payload string").withColumn("ts", at(F.col("s")))
+    pairs = live.run_to_table(stateful.pair_by_arrival(as_files(df, "s", 5, f"{scratch}/in"), groups=1), f"{scratch}/out")
+    found = [(str(r["session_id"]), r["ordinal"], *[r[f"{t}_offset"] for t in align.TOPICS], r["Right"][0]["x"]) for r in pairs.collect()]
+    want = []
+    for k, session in enumerate(sessions):
+        offsets = [10 * t + i for t in range(4) if (t + k) % 2 for i in range(3)]
+        want += [(str(session), n, o, o, o, 1.5) for n, o in enumerate(offsets)]
+    assert sorted(found) == sorted(want)
