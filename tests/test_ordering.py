@@ -178,3 +178,48 @@ def test_weights_count_rows_that_others_stand_for(spark):
     df = spark.createDataFrame([(1, i, 1 + i % 3) for i in range(50)], "k int, o long, n long")
     got = {r["o"]: r["pos"] for r in ordering.with_position(df, ["k"], ["o"], weight="n").collect()}
     assert got == {i: sum(1 + j % 3 for j in range(i)) for i in range(50)}
+
+
+def exchanges(df):
+    """Hash shuffles of a plan."""
+    return df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning")
+
+
+def test_small_keys_stay_whole_and_are_shuffled_once(spark):
+    rows = [(k, o, o % 3) for k in range(500) for o in range(20)] + [(7, None, 1), (None, 3, 1)]
+    df = spark.createDataFrame(rows, "k long, o long, v int")
+    assert ordering.slice_cuts(df, ["k"], ["o"]) == []
+    placed = ordering.with_position(df, ["k"], ["o"], among={"odd": F.col("v") == 1}, size_out="n")
+    grouped = placed.groupBy("k", "v").agg(F.count("*").alias("c"))
+    assert exchanges(grouped) == 1
+    got = {(r["k"], r["o"]): (r["pos"], r["odd"], r["n"]) for r in placed.collect()}
+    for k in range(500):
+        size = 21 if k == 7 else 20
+        assert [got[k, o] for o in range(20)] == [(o, o // 3 if o % 3 == 1 else None, size) for o in range(20)]
+    assert got[7, None] == (None, None, 21) and got[None, 3] == (None, None, None)
+
+
+def test_a_large_key_among_small_ones_is_still_cut(spark):
+    rows = [(0, o) for o in range(3000)] + [(k, 5 * k + o) for k in range(1, 600) for o in range(10)]
+    df = spark.createDataFrame(rows, "k long, o long")
+    slices = ordering.SLICES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = df.withColumn("s", ordering.default_slice(df, ["k"], ["o"])).groupBy("k", "s").count()
+    assert cells.agg(F.max("count")).first()[0] < 4 * len(rows) / slices
+    got = {(r["k"], r["o"]): r["pos"] for r in ordering.with_position(df, ["k"], ["o"]).collect()}
+    assert got == {(k, o): o if k == 0 else o - 5 * k for k, o in rows}
+
+
+def test_cuts_are_the_fewest_that_bound_a_key():
+    pairs = [(v, v % 100) for v in range(1000)]
+    assert ordering.widest_cuts(pairs) == []
+    alone = [(v, 1) for v in range(256)]
+    assert ordering.widest_cuts(alone) == list(range(16, 256, 16))
+    assert ordering.widest_cuts([(v, v % 8) for v in range(1024)]) == list(range(128, 1024, 128))
+
+
+def test_weights_of_whole_keys_and_rows_without_order(spark):
+    rows = [(k, o, 1 + o % 3) for k in range(300) for o in range(10)] + [(1, None, 4)]
+    df = spark.createDataFrame(rows, "k int, o long, n long")
+    assert ordering.slice_cuts(df, ["k"], ["o"]) == []
+    got = {(r["k"], r["o"]): r["pos"] for r in ordering.with_position(df, ["k"], ["o"], weight="n").collect()}
+    assert got == {(k, o): None if o is None else sum(1 + j % 3 for j in range(o)) for k, o, _ in rows}
