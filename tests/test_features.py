@@ -279,3 +279,18 @@ def test_window_apply_hands_windows_of_a_batch_to_python_together(spark):
             mine = [i for i in range(100 * second, 100 * second + 100) if i % 3 == s]
             want.append((s, second, mine[0], mine[-1], len(mine)))
     assert got == want
+
+
+def test_columns_made_late_are_cleaned_but_not_moved(spark):
+    nan = float("nan")
+    rows = [(1, i, v, 1 if i != 3 else 0) for i, v in enumerate([1.0, None, nan, 4.0, 5.0, 0.0])]
+    df = spark.createDataFrame(rows, "session_id long, index long, q double, label int")
+    made = {"half": F.col("q") / 2.0, "ratio": F.lit(1.0) / F.nullif(F.col("q"), F.lit(0.0))}
+    late = clean.prepare_recordings(df, made=made)
+    early = clean.prepare_recordings(df.withColumns(made))
+    got = [(r["seq"], r["pos"], r["ts"], r["half"], r["ratio"]) for r in late.orderBy("seq").collect()]
+    assert got == [(r["seq"], r["pos"], r["ts"], r["half"], r["ratio"]) for r in early.orderBy("seq").collect()]
+    assert [g[:2] for g in got] == [(0, 0), (4, 1)]
+    plan = late._jdf.queryExecution().executedPlan().toString().split("\n")
+    moved = plan[next(i for i, line in enumerate(plan) if "Exchange hashpartitioning(session_id" in line) + 1]
+    assert "q#" in moved and "_usable" in moved and moved.split("Project ")[1].count("half#") <= moved.count("isnotnull(half#")
