@@ -5,6 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from kinetable.operators import align, signals
+from kinetable.operators.ordering import with_whole_position
+from kinetable.plans import tables
 from kinetable.sources import messages as msg
 
 
@@ -124,3 +126,28 @@ def test_ordinals_move_no_messages(spark):
     assert moved and not any("_slice" in line for line in moved)
     got = sorted((r["session_id"] or 0, r["topic"], r["batch"] or 0, -1 if r["ordinal"] is None else r["ordinal"]) for r in numbered.collect())
     assert got == [(0, "Left", 1, -1), (1, "Left", 2, 0), (1, "Left", 2, 1), (1, "Left", 5, 2), (1, "Left", 9, 3), (1, "Right", 4, 0), (2, "Left", 0, -1)]
+
+
+def test_who_asks_for_keys_moves_no_readings(spark, folder):
+    keys = tables.imu_long(spark, folder).groupBy("session_id", "sensor").count()
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "l_extendedprice" not in plan.replace("PartitionFilters", "")
+
+
+def test_messages_of_small_sessions_are_paired_after_one_shuffle(spark):
+    rows = [(s, i, t, i + 0.25, i + 0.5, i + 0.75) for s in range(200) for i in range(45) for t in "LRC" if (s, i, t) != (3, 1, "R")]
+    df = spark.createDataFrame(rows, "session_id long, at long, sensor string, x double, y double, z double")
+    whole = align.message_rows(with_whole_position(df, ["session_id", "sensor"], ["at"], out="seq").repartition("session_id"))
+    shuffles = [p._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") for p in (whole, align.pair_batches(align.with_ordinal(whole)))]
+    assert shuffles[0] == shuffles[1]
+    got = {(r["topic"], r["batch"]): r["rows"] for r in whole.where("session_id = 3").collect()}
+    assert [r["sensor"] for r in got["Right", 0]] == ["Right"] * 20 and [r["index"] for r in got["Right", 0]] == [*range(1, 21)]
+    assert got["Chest", 2][4].asDict() == {"index": 5, "x": 44.25, "y": 44.5, "z": 44.75, "sensor": "Chest"}
+
+
+def test_ordinals_of_repeated_and_lost_messages(spark):
+    rows = [(s, t, b) for s in range(50) for t in ("Left", "Right") for b in (0, 2, 2, 5)] + [(None, "Left", 1), (1, "Left", None)]
+    df = spark.createDataFrame(rows, "session_id long, topic string, batch long")
+    got = sorted((r["batch"], r["ordinal"]) for r in align.with_ordinal(df).where("session_id = 1 and topic = 'Left' and batch is not null").collect())
+    assert got == [(0, 0), (2, 1), (2, 2), (5, 3)]
+    assert {r["ordinal"] for r in align.with_ordinal(df).where("session_id is null or batch is null").collect()} == {None}
