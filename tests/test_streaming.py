@@ -1,12 +1,16 @@
 """Streams over several micro-batches give what one batch gives."""
 
 import datetime
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from kinetable.operators import adverts, align, tumble
 from kinetable.plans import tables
+from kinetable.session import RELEASE_CONF
 from kinetable.streaming import live, stateful
 
 
@@ -183,8 +187,6 @@ def test_live_training_is_written_out(spark, folder):
 
 
 def test_gate_reads_what_waits_once_for_all_slices_that_are_over():
-    from types import SimpleNamespace
-
     calls, waiting, timers, running = [], [], [], []
     listed = SimpleNamespace(
         appendList=waiting.extend, get=lambda: calls.append("get") or iter(list(waiting)),
@@ -270,3 +272,48 @@ def test_queues_of_sessions_that_rest(spark, scratch):
         offsets = [10 * t + i for t in range(4) if (t + k) % 2 for i in range(3)]
         want += [(str(session), n, o, o, o, 1.5) for n, o in enumerate(offsets)]
     assert sorted(found) == sorted(want)
+
+
+def few_pairs(spark, messages=12):
+    """Three equal topics of 20 rows a message."""
+    row = "named_struct('index', cast(i as int), 'x', cast(i + id as double), 'y', cast(i as double), 'z', 1d, 'sensor', 's')"
+    df = spark.range(messages).selectExpr("1L as session_id", "id as ordinal", f"transform(sequence(1, 20), i -> {row}) as Left")
+    return df.selectExpr("*", "Left as Right", "Left as Chest")
+
+
+class CellModel:
+    """Predicts class 0 or 1 by a mean; its index has as many numbers as one of stored neighbours."""
+
+    def __init__(self, size):
+        self.index, self.seen = SimpleNamespace(centres=np.zeros((size, 1))), []
+
+    def transform(self, frames):
+        self.seen.append(frames)
+        return frames.withColumn("prediction", F.when(vector_to_array("features")[0] > 18, 1.0).otherwise(0.0))
+
+
+def test_large_triggers_are_scored_in_rounds(spark, scratch, monkeypatch):
+    found = {}
+    for name, most in (("whole", 10**9), ("rounds", 40)):
+        monkeypatch.setattr(live, "VALUES_A_ROUND", most)
+        model = CellModel(1)
+        stream = as_files(few_pairs(spark), "ordinal", 2, f"{scratch}/{name}")
+        live.write_model_scores(stream, {"m": model}, (0, 1), ["xL_mean_l"], f"{scratch}/{name}-out")
+        found[name] = sorted(map(tuple, spark.read.parquet(f"{scratch}/{name}-out/run=*").collect())), len(model.seen)
+    assert found["whole"][0] == found["rounds"][0] and len(found["whole"][0]) == 12
+    # 66 frames a trigger at one number each, at most 40 a round.
+    assert found["whole"][1] == 2 and found["rounds"][1] == 4
+
+
+def test_waiting_messages_of_scores_are_kept_on_disk(spark, scratch):
+    names = ("spark.sql.streaming.stateStore.providerClass", live.STATE_CODEC, RELEASE_CONF)
+    before, inside = [spark.conf.get(n) for n in names], []
+
+    def predict(features):
+        inside.append([features.sparkSession.conf.get(n) for n in names])
+        return features.withColumn("prediction", F.lit(1.0))
+
+    live.write_scores(as_files(few_pairs(spark, 2), "ordinal", 1, f"{scratch}/in"), predict, f"{scratch}/out")
+    assert inside == [[live.STATE_ON_DISK[names[0]], "zstd", "true"]]
+    assert [spark.conf.get(n) for n in names] == before
+    assert "RocksDB" in inside[0][0]
